@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, spans, splitleak
+from . import encoding, neardup, spans, splitleak
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.groups(read(spark, d, "fetch_results"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return splitleak.pairs(read(spark, d, "fetch_results"), read(spark, d, "verdicts"))
 
@@ -37,7 +45,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_groups, p7_found, p7_report, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
