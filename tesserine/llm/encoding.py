@@ -47,7 +47,9 @@ SWAPS = (
 )
 #: Nats by which a re-reading must beat the reading at hand, for a word.
 MARGIN = 6.0
+STRONG = 14.0
 ROUNDS = 3
+LONG = 400
 CACHE = 200_000
 
 TOKEN = re.compile("[A-Za-z\u0080-\U0010ffff]+")
@@ -164,8 +166,8 @@ class PairModel:
         return best
 
 
-def reread(word: str, model: PairModel) -> str | None:
-    """The word as another page reads its bytes, if clearly likelier."""
+def reread(word: str, model: PairModel) -> tuple[str, float] | None:
+    """The word as another page reads its bytes, and the gain, if clearly likelier."""
     if len(word) < 2 or not model.logs:
         return None
     here = None
@@ -189,17 +191,20 @@ def reread(word: str, model: PairModel) -> str | None:
         gain = model.score(other) - here
         if gain > best:
             best, found = gain, other
-    return found if best >= MARGIN else None
+    return (found, best) if best >= MARGIN else None
 
 
 class Analyser:
-    """token -> (garbled, restored token, whether something is lost)."""
+    """token -> (garbled, restored token, whether something is lost, sure).
+
+    A re-reading of one word alone is not sure unless its gain is STRONG: a
+    foreign name may look like one.  Two such words make a field affected."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.model = PairModel(samples)
-        self.kept: dict[str, tuple[bool, str, bool]] = {}
+        self.kept: dict[str, tuple[bool, str, bool, bool]] = {}
 
-    def token(self, t: str) -> tuple[bool, str, bool]:
+    def token(self, t: str) -> tuple[bool, str, bool, bool]:
         got = self.kept.get(t)
         if got is None:
             if len(self.kept) > CACHE:
@@ -207,22 +212,20 @@ class Analyser:
             got = self.kept[t] = self._token(t)
         return got
 
-    def _token(self, t: str) -> tuple[bool, str, bool]:
-        if len(t) > 400:  # no word: read it in pieces, each whole run of high characters kept together
-            parts = [self._token(x) if len(x) <= 400 else (*decode_spans(x)[::-1], False) for x in re.findall("[A-Za-z]+|[^A-Za-z]+", t)]
-            return any(p[0] for p in parts), "".join(p[1] for p in parts), any(p[2] for p in parts)
-        lost = "�" in t
+    def _token(self, t: str) -> tuple[bool, str, bool, bool]:
+        if len(t) > LONG and (parts := [x for x in re.findall("[A-Za-z]+|[^A-Za-z]+", t)])[1:]:
+            got = [self.token(x) for x in parts]  # no word: each run of high characters by itself
+            return any(p[0] for p in got), "".join(p[1] for p in got), any(p[2] for p in got), any(p[3] for p in got)
+        lost = "\ufffd" in t
         fixed, done = decode_spans(t)
-        if any("\x80" <= c <= "\x9f" for c in fixed) or re.search("[a-zß-ÿ][ÃÂ]$", fixed):
-            other = reread(fixed.strip(_EDGE), self.model)
-            if other is None:
-                return True, fixed, True
         core = fixed.strip(_EDGE)
-        if not done and not lost and core and not core.isascii():
-            other = reread(core, self.model)
-            if other is not None:
-                return True, fixed.replace(core, other), False
-        return done or lost, fixed, lost
+        odd = any("\x80" <= c <= "\x9f" for c in fixed) or re.search("[a-zß-ÿ][ÃÂ]$", fixed)
+        other = reread(core, self.model) if not lost and not core.isascii() and len(t) <= LONG and (odd or not done) else None
+        if other is not None:
+            return True, fixed.replace(core, other[0]), False, bool(done or odd or other[1] >= STRONG)
+        if odd:
+            return True, fixed, True, True
+        return done or lost, fixed, lost, done or lost
 
     def affected(self, field: str | None) -> bool:
         if not field:
@@ -231,26 +234,29 @@ class Analyser:
             return True
         if field.isascii():
             return False
-        return any(not t.isascii() and self.token(t)[0] for t in set(TOKEN.findall(field)))
-
-    def restore(self, field: str) -> tuple[bool, str, bool]:
-        """(affected, restored, lossless)."""
-        hit = lost = False
+        weak = 0
+        for t in set(TOKEN.findall(field)):
+            if not t.isascii():
+                garbled, _, _, sure = self.token(t)
+                if sure:
+                    return True
+                weak += garbled
+        return weak > 1
+
+    def restore(self, field: str) -> tuple[str, bool]:
+        """(restored, lossless) of an affected field."""
+        lost = bool(_ASKED.search(field))
 
         def one(m: re.Match) -> str:
-            nonlocal hit, lost
+            nonlocal lost
             t = m.group()
             if t.isascii():
                 return t
-            g, fixed, gone = self.token(t)
-            hit |= g
+            garbled, fixed, gone, _ = self.token(t)
             lost |= gone
-            return fixed if g else t
+            return fixed if garbled else t
 
-        out = TOKEN.sub(one, field)
-        if _ASKED.search(field):
-            hit = lost = True
-        return hit, out, hit and not lost
+        return TOKEN.sub(one, field), not lost
 
 
 def samples_of(samples: DataFrame, bound: int = 5000) -> list[tuple[str, str]]:
@@ -284,8 +290,7 @@ def restored(pages: DataFrame, samples: DataFrame) -> DataFrame:
             for f in ("text", "html"):
                 for i, x in zip(b["fetch_id"], b[f]):
                     if an.affected(x):
-                        _, y, ok = an.restore(x)
-                        out.append((i, f, y, ok))
+                        out.append((i, f, *an.restore(x)))
             yield pd.DataFrame(out, columns=["fetch_id", "field", "restored", "lossless"])
 
     src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "html")
