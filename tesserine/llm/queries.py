@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, neardup, spans, splitleak
+from . import encoding, neardup, spam, spans, splitleak
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
+def p3_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return spam.by_category(*(read(spark, d, t) for t in ("fetch_results", "verdicts", "lang_samples")))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.pairs(read(spark, d, "fetch_results")).toDF("fetch_id_a", "fetch_id_b")
 
@@ -45,7 +53,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p3_found, p3_by_category, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
