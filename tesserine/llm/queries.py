@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, neardup, spam, spans, splitleak
+from . import encoding, neardup, residue, spam, spans, splitleak, template
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return template.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return template.bodies(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = template.parsed(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+    return residue.found(pages, template.judged_lines(pages))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
 
@@ -53,7 +66,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_by_category, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
