@@ -5,13 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import encoding, neardup, residue, spam, spans, splitleak, template
+from . import encoding, language, neardup, residue, spam, spans, splitleak, template
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
+
+
+def p1_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of every fetched text and description and of every document."""
+    samples = read(spark, d, "lang_samples")
+    pages = language.labels(read(spark, d, "fetch_results"), samples, "fetch_id", ["text", "meta_description"])
+    docs = language.labels(read(spark, d, "documents"), samples, "doc_id", ["text"])
+    tag = lambda df, name: df.select(F.lit(name).alias("table"), F.col(df.columns[0]).alias("id"), *df.columns[1:])
+    return tag(pages, "fetch_results").unionByName(tag(docs, "documents"))
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"), "fetch_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return template.found(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
 
@@ -66,7 +84,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
