@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, language, neardup, residue, spam, spans, splitleak, template
+from . import encoding, language, mixing, neardup, packing, residue, spam, spans, splitleak, template, tokens
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,27 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return splitleak.report(read(spark, d, "fetch_results"), read(spark, d, "verdicts"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign(tokens.token_counts(read(spark, d, "documents")), read(spark, d, "pack_specs"))
+
+
+def p8_summary(spark: SparkSession, d: str) -> DataFrame:
+    specs = read(spark, d, "pack_specs")
+    return packing.summary(packing.assign(tokens.token_counts(read(spark, d, "documents")), specs), specs)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(tokens.token_counts(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(tokens.token_counts(read(spark, d, "documents")), read(spark, d, "mix_targets"))
+
+
+def p9_shares_kept(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(tokens.token_counts(read(spark, d, "documents")), read(spark, d, "mix_targets"), keep="shares")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.pairs(read(spark, d, "documents")).toDF("doc_id_a", "doc_id_b")
 
@@ -84,7 +105,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p8_containers, p8_summary, p9_mix, p9_shares, p9_shares_kept, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
