@@ -16,7 +16,7 @@ constraints until one reaches 0 or 1, which leaves both totals as they are, at
 most two fractions remain.  Flights run in blocks of bounded size in Spark
 (``BLOCK`` documents of a source), then over the fractions the blocks left, until
 one block holds them.  Landing: the last two are rounded to the pair of values
-nearest to both totals.  Steps are drawn from a generator seeded by mix, source
+nearest to both totals, and one exchange of documents takes up what is left.  Steps are drawn from a generator seeded by mix, source
 and block, so each document keeps its inclusion probability and the result is
 reproducible.
 
@@ -88,13 +88,25 @@ def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarra
 
 def land(pi: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Round the last fractions to the values nearest to the token total, then to
-    the document total."""
+    the document total; then exchange one chosen document for another where that
+    comes nearer, which keeps the number of documents."""
     at = np.flatnonzero((pi > 0) & (pi < 1))
     out = pi.copy()
     if len(at):
         tries = [np.array([m >> i & 1 for i in range(len(at))], float) for m in range(1 << len(at))]
         best = min(tries, key=lambda v: (abs(((v - pi[at]) * x[at]).sum()), abs((v - pi[at]).sum()), tuple(v)))
         out[at] = best
+        over = float(((out - pi) * x).sum())
+        inn, off = np.flatnonzero(out >= 1), np.flatnonzero(out <= 0)
+        if len(inn) and len(off) and over:
+            off = off[np.argsort(x[off], kind="stable")]
+            # The nearest partner, from either side, of each chosen document.
+            want = x[inn] - over
+            p = np.searchsorted(x[off], want)
+            pairs = [(i, off[j]) for q in (p - 1, p) for i, j in zip(inn, q.clip(0, len(off) - 1))]
+            i, j = min(pairs, key=lambda t: abs(over - x[t[0]] + x[t[1]]))
+            if abs(over - x[i] + x[j]) < abs(over):
+                out[i], out[j] = 0.0, 1.0
     return out
 
 
