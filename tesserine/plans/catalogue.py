@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalars  # noqa: F401
+from . import pipeline, scalars  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["score_or_refuse"](spark, sf_dir)
+    return QUERIES["annotate_rows"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
