@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, pipeline, scalars, scores  # noqa: F401
+from . import corpus, pipeline, scalars, scores, streams, verdicts  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 

@@ -1,0 +1 @@
+"""Structured Streaming jobs over event and log sources."""
