@@ -21,7 +21,7 @@ sketched, so a mass of exact copies costs one row per copy and never meets at
 an anchor.  Nothing is collected: anchors meet in a shuffled self-join that
 adaptive execution may split where an anchor is hot.
 
-Defined results: rows with NULL, empty or short (< ``MIN_WORDS`` words) text have
+Defined results: rows without key are left out; rows with NULL, empty or short (< ``MIN_WORDS`` words) text have
 no pairs; ties and repeated rows are pairs like any others; extra columns are
 ignored; an empty table gives no rows.
 """
@@ -97,7 +97,7 @@ def sketches(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, cls, anchors) of every text long enough; lineage is cut here, since
     classes, candidates and members all read it."""
     src = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    src = src.where(F.length("text") >= 2 * MIN_WORDS - 1)
+    src = src.where((F.length("text") >= 2 * MIN_WORDS - 1) & F.col("id").isNotNull())
     return cut(src.mapInPandas(_sketch, "id long, cls string, anchors array<long>"))
 
 
@@ -170,10 +170,11 @@ def pairs(df: DataFrame, key: str = "fetch_id", text: str = "text", threshold: f
     return across.unionByName(within)
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(id, root) of the connected components: labels shrink to the least id by
     large-star / small-star rounds, each a shuffle of the edges and cut from its
-    lineage; ends when a round changes nothing."""
+    lineage; ends when a round changes nothing, which takes about the logarithm of
+    the longest chain.  Running out of rounds is an error, not a result."""
     cur = cut(edges.select(F.least("id_a", "id_b").alias("v"), F.greatest("id_a", "id_b").alias("u")).distinct())
     for _ in range(rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -187,6 +188,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         cur = new.select(F.col("v"), F.col("u"))
         if not changed:
             break
+    else:
+        raise RuntimeError("components did not settle")
     star = cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return star.union(star.select(F.col("root").alias("id"), "root").distinct())
 

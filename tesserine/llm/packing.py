@@ -10,7 +10,8 @@ others their largest item could be in:
 
 * the item alone, if the smallest other does not fit with it;
 * the item and the largest one that fits, if they fill the container, if no two
-  items fit beside it, or if that partner is at least as large as any two that do.
+  items fit beside it, or if no three do and that partner is at least as large as
+  any two that do.
 
 What is left is packed best fit, largest sizes first, whole groups of containers
 at a time.  The plan, ranges of ranks within a size, is bounded like the
@@ -35,7 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 32
+#: Items of a size ranked in one task, on average at most.
+RANKED = 200_000
 
 
 def _take(left: Counter, sizes: list[int], items: list[int], times: int) -> None:
@@ -55,7 +57,7 @@ def reduce(hist: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[i
         while left.get(j):
             room = capacity - j
             n = left[j]
-            small = sizes[0] if sizes[0] != j or n > 1 else None
+            small = _smallest(left, sizes, j, 1)
             if small is None or small > room:
                 _take(left, sizes, [j], n)
                 fixed.append((n, (j,)))
@@ -69,8 +71,9 @@ def reduce(hist: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[i
                 fixed.append((n, (j,)))
                 continue
             i = sizes[at]
-            two = _two_smallest(left, sizes, j)
-            if not (i == room or two is None or two > room or i >= _best_two(left, sizes, j, room)):
+            two, three = (_smallest(left, sizes, j, k) for k in (2, 3))
+            pairs = three is None or three > room  # no more than two fit beside j
+            if not (i == room or two is None or two > room or (pairs and i >= _best_two(left, sizes, j, room))):
                 break
             times = n // 2 if i == j else min(n, left[i])
             _take(left, sizes, [j, j] if i == j else [j, i], times)
@@ -78,11 +81,12 @@ def reduce(hist: dict[int, int], capacity: int) -> tuple[list[tuple[int, tuple[i
     return fixed, left
 
 
-def _two_smallest(left: Counter, sizes: list[int], j: int) -> int | None:
+def _smallest(left: Counter, sizes: list[int], j: int, k: int) -> int | None:
+    """Sum of the k smallest items besides one of size j, None if there are fewer."""
     got: list[int] = []
     for s in sizes:
-        got += [s] * min(2 - len(got), left[s] - (s == j))
-        if len(got) > 1:
+        got += [s] * min(k - len(got), left[s] - (s == j))
+        if len(got) == k:
             return sum(got)
     return None
 
@@ -186,7 +190,8 @@ def items(counts: DataFrame, specs: DataFrame) -> DataFrame:
 
 def assign(counts: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, container_id, doc_id, piece, tokens) of every piece."""
-    it = items(counts, specs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salts = 32 + counts.count() // RANKED
+    it = items(counts, specs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     sized = it.groupBy("spec_id", "cap", "gap", "tokens", "salt").agg(F.count("*").alias("c"))
     before = Window.partitionBy("spec_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offset = sized.select("spec_id", "tokens", "salt", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))

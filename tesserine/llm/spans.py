@@ -14,7 +14,7 @@ For the per-document share no pairs are formed: windows of MIN_SPAN code points
 around the kept windows that occur in several documents are hashed again, all of
 them, counted in Spark, and repeated ones merge into maximal intervals.
 
-Defined results: NULL, empty and shorter texts have no stretch; a stretch twice
+Defined results: rows without key are left out; NULL, empty and shorter texts have no stretch; a stretch twice
 in one document only is not shared; an empty table gives no rows; extra columns
 are ignored.
 """
@@ -84,7 +84,7 @@ def _anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def source(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.length("text") >= MIN_SPAN)
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where((F.length("text") >= MIN_SPAN) & F.col("id").isNotNull())
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ shared one, and furniture that a hot site repeats on every page is not joined.
 Texts with the same words are one class per side, joined once.  Candidates are
 verified exactly: containment and Jaccard similarity of the shingle sets.
 
-Defined results: rows without verdict, with NULL or short text on the held-out
+Defined results: rows without key are left out; rows without verdict, with NULL or short text on the held-out
 side, have no pairs; an empty table gives none; verdicts that name two splits
 for one domain count as the greater name; extra columns are ignored.
 """
@@ -72,7 +72,7 @@ def split_of_domain(verdicts: DataFrame) -> DataFrame:
 
 
 def sketches(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    src = pages.select(F.col("fetch_id").cast("long").alias("id"), "domain", "text").where("length(text) >= 9 and domain is not null")
+    src = pages.select(F.col("fetch_id").cast("long").alias("id"), "domain", "text").where("length(text) >= 9 and domain is not null and id is not null")
     sk = src.mapInPandas(_sketch, "id long, domain string, n_words long, cls string, buckets array<long>")
     return cut(sk.join(split_of_domain(verdicts), "domain").drop("domain"))
 
@@ -146,7 +146,7 @@ def pairs(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
 def report(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Per held-out split and source of the page: overlapping rows and pairs."""
     o = overlaps(pages, verdicts)
-    meta = pages.join(split_of_domain(verdicts), "domain").select(F.col("fetch_id").cast("long").alias("held_id"), "split", "source")
+    meta = pages.select(F.col("fetch_id").cast("long").alias("held_id"), "domain", "source").join(split_of_domain(verdicts), "domain").drop("domain")
     return (
         o.join(meta, "held_id")
         .groupBy("split", "source")

@@ -42,5 +42,5 @@ def token_counts(docs: DataFrame, folder: str = TOKENIZERS, name: str = TOKENIZE
             n = [len(enc.encode_ordinary(t)) if t and not t.isspace() else 0 for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n": np.array(n, np.int64)})
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text").where("text <> ''")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text").where("text <> '' and doc_id is not null")
     return cut(src.mapInPandas(run, "doc_id long, source string, n long").where("n > 0"))
