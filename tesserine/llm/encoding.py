@@ -135,6 +135,17 @@ def decode_spans(token: str) -> tuple[str, bool]:
     return token, done
 
 
+def asked(field: str) -> bool:
+    """Whether question marks stand for letters; only one between letters is
+    looked at closer."""
+    i = field.find("?")
+    while i >= 0:
+        if field[i - 1 : i].isalpha() and field[i + 1 : i + 2].islower():
+            return bool(_ASKED.search(field))
+        i = field.find("?", i + 1)
+    return False
+
+
 class PairModel:
     """Letter-pair models of the languages, over lower-cased words."""
 
@@ -230,7 +241,7 @@ class Analyser:
     def affected(self, field: str | None) -> bool:
         if not field:
             return False
-        if "?" in field and _ASKED.search(field):
+        if asked(field):
             return True
         if field.isascii():
             return False
@@ -245,7 +256,7 @@ class Analyser:
 
     def restore(self, field: str) -> tuple[str, bool]:
         """(restored, lossless) of an affected field."""
-        lost = bool(_ASKED.search(field))
+        lost = asked(field)
 
         def one(m: re.Match) -> str:
             nonlocal lost

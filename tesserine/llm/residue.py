@@ -58,9 +58,7 @@ _FORMS = {
     "angle": re.compile(r"(?:&lt;|<)([a-z]+) here(?:&gt;|>)"),
     "at": re.compile(r"@@(\w{1,60}?)@@"),
 }
-_FILL = re.compile("|".join(sorted(FILLER)), re.I)
 _ANY = re.compile(r"[{\[$#%@_<&]")
-_WORDS = re.compile(r"[^\W_]+")
 _SLOT = re.compile(r"\d[\d.,]*|[^\W\d_]+")
 
 
@@ -89,12 +87,9 @@ def line_mask(line: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def filler_words(line: str) -> int:
-    """Words of a line of filler text, 0 of any other line."""
-    if not _FILL.search(line):
-        return 0
-    ws = _WORDS.findall(line.lower())
-    return len(ws) if len(FILLER.intersection(ws)) > 1 else 0
+def filler_words(words: list[str]) -> int:
+    """Words of a line (in small letters) if it is filler text, else 0."""
+    return len(words) if len(FILLER.intersection(words)) > 1 else 0
 
 
 def found(pages: DataFrame, lines: DataFrame) -> DataFrame:

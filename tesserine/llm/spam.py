@@ -45,9 +45,10 @@ CACHE = 400_000
 TOKEN = re.compile(r"https?://\S+|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:]*|\n|[^\w\s]|_")
 #: Usual syntaxes of a place for a value.
 PLACE = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\[\[[^\]\n]{1,60}\]\]|\[[A-Z]+(?: [A-Z]+)+\]|\[[a-z]+(?:_[a-z]+)+\]"
-    r"|%%\w{1,60}%%|__[A-Z][A-Z_]{0,60}__|\$\$ ?\w{1,60} ?\$\$|\{[a-z]+:[a-z]+\}|&lt;[^&\n]{1,60}&gt;|<[a-z]+ here>|@@\w{1,60}@@"
+    r"(?=[{\[$#%@_<&])(?:\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\[\[[^\]\n]{1,60}\]\]|\[[A-Z]+(?: [A-Z]+)+\]|\[[a-z]+(?:_[a-z]+)+\]"
+    r"|%%\w{1,60}%%|__[A-Z][A-Z_]{0,60}__|\$\$ ?\w{1,60} ?\$\$|\{[a-z]+:[a-z]+\}|&lt;[^&\n]{1,60}&gt;|<[a-z]+ here>|@@\w{1,60}@@)"
 )
+_CAPITAL = re.compile("[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻА-ЯЁ]")
 _SENTENCE = set(",.;:!?()“”\"'«»–—-…")
 _LISTING = set("|·•/>»")
 
@@ -124,9 +125,7 @@ class ProseModel:
 
     def page(self, text: str) -> tuple[float, int, float]:
         """(median surprise of the page's windows, tokens, share of repeats)."""
-        text = PLACE.sub(" x ", text)
-        letters = sum(map(str.isalpha, text))
-        if sum(map(str.isupper, text)) > 0.5 * letters:
+        if len(_CAPITAL.findall(text)) > 0.35 * len(text) and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text)):
             text = text.lower()
         q = self.sequence(text)
         if len(q) < MIN_TOKENS:
@@ -145,7 +144,7 @@ def judge(text: str | None, prose: ProseModel, an: Analyser) -> tuple[bool, floa
         text = an.restore(text)[0]
         if text.count("�") > LOST * len(text):
             return None
-    places = len(PLACE.findall(text))
+    text, places = PLACE.subn(" x ", text)
     m, n, repeats = prose.page(text)
     if n < MIN_TOKENS or places * 8 > n:
         return None
