@@ -19,7 +19,7 @@ field affected but not restorable there.
 Every distinct word is analysed once per worker.  The models are a bounded
 broadcast (languages x letter pairs of the fixed sample table).
 
-Defined results: NULL and empty fields are not affected; correctly decoded
+Defined results: rows without key are left out; NULL and empty fields are not affected; correctly decoded
 unusual characters are not; an empty table gives no rows; with an empty sample
 table only the automaton and the lost places count.
 """
@@ -32,7 +32,6 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +178,7 @@ class PairModel:
 
 def reread(word: str, model: PairModel) -> tuple[str, float] | None:
     """The word as another page reads its bytes, and the gain, if clearly likelier."""
-    if len(word) < 2 or not model.logs:
+    if len(word) < 2 or not model.logs or 2 * sum(map(str.isalpha, word)) < len(word):
         return None
     here = None
     best, found = 0.0, None
@@ -284,9 +283,10 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
         an = Analyser(rows)
         for b in batches:
             out = [(i, f) for f in ("text", "html") for i, x in zip(b["fetch_id"], b[f]) if an.affected(x)]
-            yield pd.DataFrame({"fetch_id": np.array([o[0] for o in out], np.int64), "field": [o[1] for o in out]})
+            if out:
+                yield pd.DataFrame(out, columns=["fetch_id", "field"])
 
-    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "html")
+    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "html").where("fetch_id is not null")
     return src.mapInPandas(run, "fetch_id long, field string").distinct()
 
 
@@ -302,7 +302,8 @@ def restored(pages: DataFrame, samples: DataFrame) -> DataFrame:
                 for i, x in zip(b["fetch_id"], b[f]):
                     if an.affected(x):
                         out.append((i, f, *an.restore(x)))
-            yield pd.DataFrame(out, columns=["fetch_id", "field", "restored", "lossless"])
+            if out:
+                yield pd.DataFrame(out, columns=["fetch_id", "field", "restored", "lossless"])
 
-    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "html")
+    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "html").where("fetch_id is not null")
     return src.mapInPandas(run, "fetch_id long, field string, restored string, lossless boolean")

@@ -16,7 +16,7 @@ between quotation marks in another language than their line, and runs below
 ``RUN`` words in a line (names, titles), count for the line's language; addresses
 are no words.
 
-Defined results: NULL, empty or wordless texts have no language; ties go to the
+Defined results: rows without key are left out; NULL, empty or wordless texts have no language; ties go to the
 language first in alphabetical order; repeated rows are labelled alike; an empty
 table gives no rows; without samples no text has a language.
 """
@@ -329,9 +329,10 @@ def labels(table: DataFrame, samples: DataFrame, key: str, fields: list[str]) ->
                     for i, label, g in zip(part["id"], part["label"], got):
                         n = sum(c for c, _ in g.values())
                         out += [(i, f, x, c, round(c / n, 6), round(p, 6), label_code(label)) for x, (c, p) in sorted(g.items())]
-                yield pd.DataFrame(out, columns=["id", "field", "lang", "words", "share", "confidence", "label"])
+                if out:
+                    yield pd.DataFrame(out, columns=["id", "field", "lang", "words", "share", "confidence", "label"])
 
-    src = table.select(F.col(key).cast("long").alias("id"), F.col("lang").alias("label"), *fields)
+    src = table.select(F.col(key).cast("long").alias("id"), F.col("lang").alias("label"), *fields).where("id is not null")
     schema = "id long, field string, lang string, words long, share double, confidence double, label string"
     return src.mapInPandas(run, schema).withColumnRenamed("id", key)
 
@@ -353,9 +354,10 @@ def segments(table: DataFrame, samples: DataFrame, key: str, field: str = "text"
                     if len(cuts):
                         for s, (p, q) in enumerate(zip([0, *cuts], [*cuts, len(lab)])):
                             out.append((i, s, model.langs[lab[p]], int(p), int(q - 1), round(float(m[p:q, lab[p]].mean()), 6)))
-                yield pd.DataFrame(out, columns=["id", "segment", "lang", "first_word", "last_word", "confidence"])
+                if out:
+                    yield pd.DataFrame(out, columns=["id", "segment", "lang", "first_word", "last_word", "confidence"])
 
-    src = table.select(F.col(key).cast("long").alias("id"), F.col(field).alias("text")).where("text <> ''")
+    src = table.select(F.col(key).cast("long").alias("id"), F.col(field).alias("text")).where("text <> '' and id is not null")
     return src.mapInPandas(run, "id long, segment long, lang string, first_word long, last_word long, confidence double").withColumnRenamed("id", key)
 
 
@@ -388,8 +390,9 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
                         got = found_fields(label, x, y)
                         if got and not ((j := spam.judge(t, prose, an)) and j[0]):
                             out += [(i, *g) for g in got]
-                yield pd.DataFrame(out, columns=["fetch_id", "field", "lang"])
+                if out:
+                    yield pd.DataFrame(out, columns=["fetch_id", "field", "lang"])
 
-    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "meta_description", "lang").where("coalesce(text, '') <> '' or coalesce(meta_description, '') <> ''")
+    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "meta_description", "lang").where("fetch_id is not null and (coalesce(text, '') <> '' or coalesce(meta_description, '') <> '')")
     src = src.join(drop, "fetch_id", "left_anti").join(skip, "fetch_id", "left")
     return src.mapInPandas(run, "fetch_id long, field string, lang string").distinct()

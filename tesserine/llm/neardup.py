@@ -90,7 +90,8 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids.append(i)
                 classes.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 arrays.append(signed(np.unique(anchors(fingerprint(s)))))
-        yield pd.DataFrame({"id": np.array(ids, np.int64), "cls": classes, "anchors": arrays})
+        if ids:
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "cls": classes, "anchors": arrays})
 
 
 def sketches(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -15,7 +15,7 @@ abnormally low surprise (below ``LOW``) that also repeats itself.
 Garbled text is restored before it is scored, a text in capitals is read in
 small letters, and places for values count as words (those pages are problem 4).
 
-Defined results: NULL, empty and short texts (< ``MIN_TOKENS`` tokens) are not
+Defined results: rows without key are left out; NULL, empty and short texts (< ``MIN_TOKENS`` tokens) are not
 spam; texts whose letters are lost are not judged; extra columns are ignored; an
 empty table gives no rows; an empty sample table flags nothing.
 """
@@ -163,9 +163,10 @@ def scored(pages: DataFrame, samples: DataFrame) -> DataFrame:
                 got = judge(t, prose, an)
                 if got:
                     out.append((i, d, got[1], got[0]))
-            yield pd.DataFrame(out, columns=["fetch_id", "domain", "surprise", "spam"])
+            if out:
+                yield pd.DataFrame(out, columns=["fetch_id", "domain", "surprise", "spam"])
 
-    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "domain", "text").where("text <> ''")
+    src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "domain", "text").where("text <> '' and fetch_id is not null")
     return src.mapInPandas(run, "fetch_id long, domain string, surprise double, spam boolean")
 
 
