@@ -108,5 +108,32 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p8_containers, p8_summary, p9_mix, p9_shares, p9_shares_kept, p10_found, p10_shares)}
 
 
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def _runs(k: int) -> str:
+    return f"unnest(list_distinct([array_to_string(w[i:i + {k - 1}], ' ') for i in range(1, len(w) - {k - 2})])) AS g"
+
+
+#: The definitions in plain SQL, by all shared runs: right, but not for large tables.
+SQL = {
+    "p5_found": f"""WITH w AS (SELECT fetch_id, {_WORDS} AS w FROM fetch_results WHERE text <> ''),
+g AS (SELECT fetch_id, {_runs(3)} FROM w WHERE len(w) >= 40), c AS (SELECT fetch_id, count(*) AS m FROM g GROUP BY 1)
+SELECT a.fetch_id AS fetch_id_a, b.fetch_id AS fetch_id_b FROM g a JOIN g b ON a.g = b.g AND a.fetch_id < b.fetch_id
+JOIN c x ON x.fetch_id = a.fetch_id JOIN c y ON y.fetch_id = b.fetch_id
+GROUP BY a.fetch_id, b.fetch_id, x.m, y.m HAVING count(*) >= 0.7 * (x.m + y.m - count(*))""",
+    "p7_found": f"""WITH s AS (SELECT lower(trim(domain)) AS domain, max(split) AS split FROM verdicts WHERE split IS NOT NULL AND domain IS NOT NULL GROUP BY 1),
+w AS (SELECT f.fetch_id, s.split, {_WORDS} AS w FROM fetch_results f JOIN s ON f.domain = s.domain WHERE f.text <> ''),
+g AS (SELECT fetch_id, split, len(w) AS n, {_runs(5)} FROM w WHERE len(w) >= 5), c AS (SELECT fetch_id, count(*) AS m FROM g GROUP BY 1)
+SELECT least(h.fetch_id, t.fetch_id) AS fetch_id_a, greatest(h.fetch_id, t.fetch_id) AS fetch_id_b
+FROM (SELECT * FROM g WHERE split IN ('val', 'test') AND n >= 40) h JOIN (SELECT * FROM g WHERE split = 'train') t ON h.g = t.g
+JOIN c ON c.fetch_id = h.fetch_id GROUP BY h.fetch_id, t.fetch_id, c.m HAVING count(*) >= 0.8 * c.m""",
+    "p10_found": """WITH g AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS g FROM
+(SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200) t),
+k AS (SELECT * FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
