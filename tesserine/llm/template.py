@@ -9,8 +9,11 @@ however many pages a host has.  Tokens of one vector form an equivalence class;
 a class is valid if it has at least two tokens on at least two pages and its
 tokens stand in the same order on all of them.  Container paths nest the classes
 into a template whose slots are the containers.  Of the slots opened by valid
-classes the body is the one that holds most words a page; text tokens of a class
-that covers most pages of a large host are template too, wherever they stand.
+classes the body is the one that holds most words a page (any slot on pages where
+no class is valid); a slot's class may be valid on another host or in the pool, as
+a host may have its body's container once.  Text tokens that share their vector
+with other tokens and cover most pages of a large host are template too, wherever
+they stand.
 Everything outside the body slot of a page is furniture.
 
 Hosts with fewer than ``HOST_PAGES`` pages show no vectors of their own; their
@@ -267,21 +270,23 @@ def classes(pages: DataFrame, grp: DataFrame) -> tuple[DataFrame, DataFrame]:
     valid = order.groupBy("grp", "sig", "support").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("lo = hi")
     boxes = box.join(valid.select("grp", "sig", "support"), ["grp", "sig", "support"], "left_semi").select("grp", "tok")
     size = grp.where("grp <> ''").groupBy("grp").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
-    texts = vector.where("kind = 1").join(size, "grp").where(F.col("support") >= F.col("pages") * TEMPLATE_SHARE).select("grp", "tok")
+    most = vector.join(size, "grp").where(F.col("support") >= F.col("pages") * TEMPLATE_SHARE)
+    texts = most.withColumn("size", F.count("*").over(of)).where("kind = 1 and size > 1").select("grp", "tok")
     return boxes, texts
 
 
 def body_slots(pages: DataFrame, grp: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(fetch_id, body): the slot that holds a page's body."""
+    """(fetch_id, body): the slot that holds a page's body, one that a valid class
+    opens on any host if the page has such a slot."""
     s = pages.select("fetch_id", F.explode("slots").alias("s")).select("fetch_id", "s.slot", "s.words").join(grp, "fetch_id")
     own = s.groupBy("grp", "slot").agg(F.sum("words").alias("sum"), F.count("*").alias("n"))
     pool = s.groupBy("slot").agg(F.avg("words").alias("prior"))
     score = (
         own.join(pool, "slot")
-        .join(boxes.withColumnRenamed("tok", "slot").withColumn("valid", F.lit(1)), ["grp", "slot"], "left")
+        .join(boxes.select(F.col("tok").alias("slot")).distinct().withColumn("valid", F.lit(1)), "slot", "left")
         .select("grp", "slot", F.coalesce("valid", F.lit(0)).alias("valid"), ((F.col("sum") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)).alias("score"))
     )
-    return s.join(score, ["grp", "slot"]).groupBy("fetch_id").agg(F.max_by("slot", F.struct(F.col("score") * (1 + 1e-9 * F.col("valid")), "valid", "slot")).alias("body"))
+    return s.join(score, ["grp", "slot"]).groupBy("fetch_id").agg(F.max_by("slot", F.struct("valid", "score", "slot")).alias("body"))
 
 
 def judged_lines(pages: DataFrame) -> DataFrame:

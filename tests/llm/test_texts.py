@@ -156,6 +156,29 @@ def test_furniture(spark, samples, rows):
     assert template.found(t.limit(0), samples).count() == 0
 
 
+def test_body_slot_is_of_a_valid_class(spark, samples, rows):
+    pages = [page(i, rows, "h.example") for i in range(8)]
+    promo = " ".join(t for _, t in rows[:12])
+    pages[0]["html"] = pages[0]["html"].replace("<div class='foot'>", f"<div class='promo'><p>{promo}</p></div><div class='foot'>")
+    pages[0]["text"] += "\n" + promo
+    got = {r["line_no"] for r in template.found(table(spark, pages), samples).where("fetch_id = 0").collect()}
+    assert got == {0, 1, 6, 7}
+
+
+def test_template_text_is_of_a_class(spark, samples, rows):
+    """A text on most pages is template if other tokens stand on the same pages."""
+    pages = []
+    for i in range(12):
+        p = page(i, rows, "h.example")
+        add = ("<p>Alone among its pages</p>" if i < 9 else "") + ("<p>Always first</p><p>Always second</p>" if i > 1 else "")
+        pages.append({**p, "html": p["html"].replace("<div id=content>", "<div id=content>" + add)})
+    page_ = template.parsed(table(spark, pages), samples)
+    _, texts = template.classes(page_, template.groups_of(page_))
+    tok = {k: template._id(str(template._id("divicontent")), template.key_of(k)) for k in ("Alone among its pages", "Always first", "Always second")}
+    got = {r["tok"] for r in texts.collect()}
+    assert tok["Alone among its pages"] not in got and {tok["Always first"], tok["Always second"]} <= got
+
+
 def test_segments_of_broken_html():
     got = template.segments("<div><p>a <b>b</b> c<li>d</div></div><nav>x &amp; y<script>no()</script>")
     assert [(p, t) for p, t in got if t][:1] == [(("div.",), "a")] and (("div.",), "a b c") in got and (("nav.",), "x & y") in got
