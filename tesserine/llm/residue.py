@@ -1,12 +1,15 @@
 """Problem 4: leftovers of a site's machinery instead of content.
 
-Method.  Records of one template are aligned by masking: in a line's mask
+Method.  Lines of messages are aligned by masking (slots are known by a list of
+placeholder syntaxes, not by alignment with filled records): in a line's mask
 numbers, capitalised words and the names of values are slots, the rest is the
 template, so lines that differ in slots only have the same mask.  Flagged are
 
-* slots that still hold the name of a value.  Names are induced: an identifier
-  that stands in at least ``FORMS`` different placeholder syntaxes is a name of a
-  value; one that a text only writes about stands in one.
+* slots that still hold a placeholder: the title or a part of it, or the value of
+  a line 'Label: value', is a placeholder of whatever name and nothing else.
+* placeholders inside sentences, if their name is one of a value.  Names are
+  induced: an identifier that stands in at least ``FORMS`` different placeholder
+  syntaxes is a name of a value; one that a text only writes about stands in one.
 * titles that hold such a slot or a program's default (``DEFAULT_TITLES``).
 * whole-page templates: a mask on at least ``DOMAINS`` domains whose pages hold
   hardly anything but such lines (body words, capped, below ``ALONE`` on average)
@@ -58,20 +61,33 @@ _FORMS = {
     "angle": re.compile(r"(?:&lt;|<)([a-z]+) here(?:&gt;|>)"),
     "at": re.compile(r"@@(\w{1,60}?)@@"),
 }
-_ANY = re.compile(r"[{\[$#%@_<&]")
+_ANY = re.compile(r"[{\[$#%@_<&*]")
+#: A placeholder of any name, where it is all there is in a slot.
+_PLACE = (
+    r"(?:\{\{[^{}\n]{1,60}\}\}|\{%[^{}%\n]{1,60}%\}|[$#]\{[^{}\n]{1,60}\}|<%[^<>%\n]{1,60}%>|\[\[[^\[\]\n]{1,60}\]\]|\[(?:INSERT|YOUR|ENTER) [A-Z]+(?: [A-Z]+)*\]|\[[a-z]+(?:_[a-z]+)+\]"
+    r"|%%\w{1,60}%%|__[A-Z][A-Z_]{0,58}[A-Z]__|\$\$ ?\w{1,60} ?\$\$|\{[a-z]\w*(?:[:.-]\w+)*\}|(?:&lt;|<)[a-z]+ here(?:&gt;|>)|@@\w{1,60}@@|\*\|[^|*\n]{1,60}\|\*)"
+)
+_TITLE_SLOT = re.compile(rf"(?:^|\s[|·–—-]\s)\s*{_PLACE}\s*(?:$|\s[|·–—-]\s)")
+_LINE_SLOT = re.compile(rf"(?m)^[ \t]*[^\W\d_][^\n:{{}}<>\[\]]{{0,40}}:[ \t]+{_PLACE}(?:[ \t]+{_PLACE})*[ \t]*$")
 _SLOT = re.compile(r"\d[\d.,]*|[^\W\d_]+")
 
 
+def slot_unfilled(text: str, title: str | None) -> bool:
+    """Whether a part of the title, or the value of a line 'Label: value', is a
+    placeholder and nothing else, whatever its syntax and name."""
+    return bool(title and _ANY.search(title) and _TITLE_SLOT.search(title) or _ANY.search(text) and _LINE_SLOT.search(text))
+
+
 def page_places(text: str, title: str | None) -> tuple[list[tuple[str, str]], bool]:
     """((syntax, identifier) of the placeholders in text or title, whether the
-    title is a program's default)."""
+    title is a program's default or a slot is unfilled)."""
     out = set()
     for s in (text, title or ""):
         if s and _ANY.search(s):
             for form, p in _FORMS.items():
                 for name in p.findall(s):
                     out.update((form, w) for w in re.split(r"[^a-z]+", name.lower()) if w)
-    return sorted(out), (title or "").strip().lower() in DEFAULT_TITLES
+    return sorted(out), (title or "").strip().lower() in DEFAULT_TITLES or slot_unfilled(text, title)
 
 
 def line_mask(line: str) -> int:

@@ -190,6 +190,14 @@ def test_places():
     assert residue.page_places("no places, 5 < 6 & 7", None) == ([], False)
 
 
+@pytest.mark.parametrize("slot", ["{{ title.phone }}", "{{ cart_total }}", "${customer}", "{name}", "{{ first-name }}", "{{ name | upper }}", "*|NAME|*", "{% block x %}", "@@x@@"])
+def test_slot_is_judged_in_its_place(slot):
+    """One syntax and one name are enough where nothing but the placeholder stands."""
+    for text, title in (("", slot), ("", slot + " | Shop"), ("", "Shop - " + slot), (f"Menu\nTotal: {slot}\nmore", None)):
+        assert residue.page_places(text, title)[1]
+    assert not residue.page_places(f"Our course shows how {slot} is replaced.\nNote: write {slot} there", "How templates work")[1]
+
+
 def test_residue(spark, samples, rows):
     names = ["{{ name }}", "${name}", "%%NAME%%", "[[name]]"]
     pages = [page(i, rows, f"h{i}.example") for i in range(8)]
