@@ -27,7 +27,10 @@ def p1_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language.segments(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"), "fetch_id")
+    """Segments of every mixed fetched text and description and of every mixed document."""
+    samples = read(spark, d, "lang_samples")
+    part = lambda t, key, f: language.segments(read(spark, d, t), samples, key, f).select(F.lit(t).alias("table"), F.col(key).alias("id"), F.lit(f).alias("field"), "segment", "lang", "first_word", "last_word", "confidence")
+    return part("fetch_results", "fetch_id", "text").unionByName(part("fetch_results", "fetch_id", "meta_description")).unionByName(part("documents", "doc_id", "text"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
