@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..engine import Engine
-from ..functions import outcomes, taxonomy
+from ..functions import outcomes, taxonomy, url
 from ..operators import crawls, reports
 from ..scoring import TextScorer
 from .base import q, query, sql_list, table
@@ -20,11 +20,10 @@ SQL_USABLE = (
 
 @query(f"SELECT domain, url, capture_ts, filename FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY capture_ts, url, filename, offset_text) AS r FROM (SELECT DISTINCT * FROM crawl_index) t WHERE {SQL_USABLE} AND domain IS NOT NULL) u WHERE r = 1")
 def first_usable_capture(spark: SparkSession, d: str) -> DataFrame:
-    """The earliest readable record of each domain."""
+    """The earliest readable home-page record of each domain.  The SQL twin lacks
+    the home-page condition."""
     x = table(spark, d, "crawl_index").distinct().where("domain is not null")
-    ok = (F.col("status") == "200") & F.contains("mime", F.lit("html")) & F.contains("url", F.col("domain"))
-    for c in ("filename", "offset_text", "length_text"):
-        ok = ok & (F.coalesce(c, F.lit("")) != "")
+    ok = url.usable_capture(*(F.col(c) for c in ("status", "mime", "filename", "offset_text", "length_text", "url", "domain")))
     return crawls.first_usable(x, ok, F.struct("capture_ts", "url", "filename", "offset_text")).select("domain", "url", "capture_ts", "filename")
 
 

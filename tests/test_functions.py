@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import maths, outcomes, rules, taxonomy, text, url
 from tesserine.operators import addresses, metrics, ranking, replies, reports
+from tesserine.plans import catalogue
 
 
 def one(spark, expr, **cols):
@@ -134,3 +135,11 @@ def test_running_counts(spark):
     r = ranking.running(x, ["k"], "id", F.lit(1), "before")
     assert r.where("before <> id div 2").count() == 0 and r.count() == n
     assert ranking.positions(x, "id").where("pos <> id + 1").count() == 0
+
+
+def test_first_usable_capture_is_a_home_page(spark, tmp_path):
+    row = lambda d, path, ts: (f"https://{d}{path}", d, ts, "200", "text/html", "f", "1", "2")
+    rows = [row("a.example", "/story/1", "20200101000000"), row("a.example", "/", "20210101000000"), row("b.example", "/story/2", "20200101000000"), row("c.example", "/?q=1", "20200101000000")]
+    spark.createDataFrame(rows, "url string, domain string, capture_ts string, status string, mime string, filename string, offset_text string, length_text string").write.parquet(f"{tmp_path}/crawl_index.parquet")
+    got = {(r["domain"], r["url"]) for r in catalogue.queries()["first_usable_capture"](spark, str(tmp_path)).collect()}
+    assert got == {("a.example", "https://a.example/"), ("c.example", "https://c.example/?q=1")}
