@@ -8,6 +8,7 @@ import tempfile
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: a maximal run of letters and digits (``\p{L}``, ``\p{N}``).
 WORD = re.compile(r"[^\W_]+")
@@ -27,16 +28,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes up to which a measured table may be broadcast; larger ones are shuffled.
+SMALL_BYTES = 32 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder the cluster
-    names in ``spark.checkpoint.dir``; a local one is set only where none is."""
+    """Cut lineage by a reliable checkpoint in the shared folder that
+    ``spark.checkpoint.dir`` names.  Without one only a local session, whose only
+    machine this is, may go on."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserine-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="tesserine-ckpt-")
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, width: str | None = None) -> DataFrame:
+    """``df``, cut from its lineage and measured: marked for broadcast if its
+    rows times their bytes (``width``, 24 by default) stay within ``SMALL_BYTES``, left to
+    a shuffle join beyond."""
+    df = cut(df)
+    size = df.agg(F.sum(F.expr(width) if width else F.lit(24)).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def word_hashes(ws: list[str]) -> np.ndarray:
     """A stable 64-bit hash of every word; hashes are cached per worker."""
     if len(_cache) > WORD_CACHE:

@@ -103,12 +103,27 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.pairs(read(spark, d, "documents")).toDF("doc_id_a", "doc_id_b")
 
 
+def p10_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches: maximal intervals of a document that stand in others too."""
+    return spans.intervals(read(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different texts; ``p10_members`` tells which documents have them."""
+    docs = read(spark, d, "documents")
+    return spans.links(docs, spans.anchors(docs)).toDF("doc_id_a", "doc_id_b")
+
+
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    return spans.members(read(spark, d, "documents"))
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shares(read(spark, d, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p8_containers, p8_summary, p9_mix, p9_shares, p9_shares_kept, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_labels, p1_segments, p2_found, p2_bodies, p3_found, p3_by_category, p4_found, p5_found, p5_groups, p6_found, p6_restored, p7_found, p7_report, p8_containers, p8_summary, p9_mix, p9_shares, p9_shares_kept, p10_found, p10_spans, p10_links, p10_members, p10_shares)}
 
 
 _WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"

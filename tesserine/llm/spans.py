@@ -1,22 +1,35 @@
 """Problem 10: verbatim stretches shared between documents.
 
-Method.  Rabin-Karp hashes of every window of ``WINDOW`` code points are computed
-by one vectorised pass over each text (prefix sums of scrambled code points
-times powers of an odd base, modulo 2^64).  Of every ``MIN_SPAN - WINDOW + 1``
-consecutive windows the least hash is kept, so each stretch of ``MIN_SPAN`` code
-points keeps at least one window and equal stretches keep the same one: the
-shuffle carries about 2 % of the windows and loses no stretch.  Kept windows are
-joined across documents; stretches are then extended to both sides on the texts
-themselves and kept from ``MIN_SPAN`` code points on, so a hash collision cannot
-give a pair.
-
-For the per-document share no pairs are formed: windows of MIN_SPAN code points
-around the kept windows that occur in several documents are hashed again, all of
-them, counted in Spark, and repeated ones merge into maximal intervals.
-
-Defined results: rows without key are left out; NULL, empty and shorter texts have no stretch; a stretch twice
-in one document only is not shared; an empty table gives no rows; extra columns
-are ignored.
+Method.  Rabin-Karp hashes of every window of a fixed number of tokens are
+counted in Spark; windows that stand in several documents merge into maximal
+intervals.  TESTDATA states stretches in code points, so a token is a code point
+and a counted window has ``MIN_SPAN`` of them.
+
+To count only windows that can repeat, shorter windows (``WINDOW``) are hashed
+first, by one vectorised pass (prefix sums of scrambled code points times powers
+of an odd base, modulo 2^64); of every ``MIN_SPAN - WINDOW + 1`` consecutive ones
+the least hash is kept and counted.  Each stretch of ``MIN_SPAN`` keeps at least
+one, and equal stretches the same one, so every repeated window of ``MIN_SPAN``
+lies around a repeated kept one: all windows there are hashed and counted.
+
+* ``intervals``: the repeated windows of a document, merged.
+* ``links``: two texts share a stretch exactly if they share a window.  The
+  windows of one stretch mostly stand in the same set of documents; sets are told
+  apart by their size and the exclusive or of their members' hashes, and one window
+  stands for each set, so a footer of n texts costs n rows until the pairs are
+  written.  Sets are joined with themselves by a shuffle that adaptive execution
+  splits where a set is hot.
+
+Exact copies are one class, which its least id stands for; ``links`` and
+``members`` give the result without expanding them.
+
+Windows are compared by 64-bit hashes: among W hashed windows a false meeting
+has probability below W^2 / 2^65.
+
+Defined results: rows without key are left out; NULL, empty and shorter texts
+have no stretch; a stretch twice in one document only is not shared; periodic
+texts count each distinct window once; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +42,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, signed
+from .common import cut, mix64, signed, small
 
 MIN_SPAN = 200
 WINDOW = 100
@@ -72,15 +85,13 @@ def minima(h: np.ndarray, width: int) -> np.ndarray:
 
 def _anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids, hs, ps = [], [], []
-        for i, text in zip(b["id"], b["text"]):
+        hs, ps = [], []
+        for text in b["text"]:
             h = rolling(codes(text), WINDOW)
             at = minima(h, MIN_SPAN - WINDOW + 1)
-            ids.append(np.full(len(at), i, np.int64))
             hs.append(signed(h[at]))
             ps.append(at.astype(np.int32))
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        yield pd.DataFrame({"id": cat(ids, np.int64), "h": cat(hs, np.int64), "pos": cat(ps, np.int32)})
+        yield pd.DataFrame({"id": b["id"], "digest": b["digest"], "h": hs, "pos": ps})
 
 
 def source(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -88,75 +99,84 @@ def source(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return source(docs, key, text).mapInPandas(_anchor, "id long, h long, pos int")
+    """(id, digest, h, pos): kept windows of every text; lineage is cut."""
+    src = source(docs, key, text).withColumn("digest", F.md5("text"))
+    return cut(src.mapInPandas(_anchor, "id long, digest string, h array<long>, pos array<int>"))
 
 
-def _extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for i, j, x, y, at, shift in zip(b["id_a"], b["id_b"], b["text_a"], b["text_b"], b["at"], b["shift"]):
-            end = 0
-            for p in sorted(int(p) for p in at):
-                q = p - shift
-                if p < end or x[p : p + WINDOW] != y[q : q + WINDOW]:
-                    continue
-                left, most = 0, min(p, q)
-                while left < most and x[p - left - 1] == y[q - left - 1]:
-                    left += 1
-                right, most = WINDOW, min(len(x) - p, len(y) - q)
-                while right < most and x[p + right] == y[q + right]:
-                    right += 1
-                end = p + right
-                if left + right >= MIN_SPAN:
-                    out.append((i, j, p - left, q - left, left + right))
-        yield pd.DataFrame(np.array(out, np.int64).reshape(-1, 5), columns=["id_a", "id_b", "start_a", "start_b", "length"])
-
-
-def stretches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_a, id_b, start_a, start_b, length) of maximal common stretches."""
-    from .neardup import with_texts
+def copies(at: DataFrame) -> DataFrame:
+    """(id, rep) of the texts that have exact copies."""
+    many = at.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    return at.select("id", "digest").distinct().join(many, "digest").select("id", "rep")
 
-    at = anchors(docs, key, text)
-    a, b = at.alias("a"), at.alias("b")
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(h) of the hashes that stand in more than one document."""
+    return rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+
+
+def _window(positions: bool):
+    reach = MIN_SPAN - WINDOW
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hs, ps = [], []
+            for text, at in zip(b["text"], b["at"]):
+                h = rolling(codes(text), MIN_SPAN)
+                edge = np.zeros(len(h) + 1, np.int64)
+                at = np.asarray(at, np.int64)
+                np.add.at(edge, np.maximum(at - reach, 0), 1)
+                np.add.at(edge, np.minimum(at + 1, len(h)), -1)
+                w = np.flatnonzero(np.cumsum(edge[:-1]))
+                hs.append(signed(h[w] if positions else np.unique(h[w])))
+                ps.append(w.astype(np.int32))
+            yield pd.DataFrame({"id": b["id"], "h": hs, "pos": ps} if positions else {"id": b["id"], "h": hs})
+
+    return run
+
+
+def windows(docs: DataFrame, at: DataFrame, key: str, text: str, positions: bool) -> DataFrame:
+    """Hashes of all windows of MIN_SPAN around the repeated kept ones: an array
+    for each text, with their positions or, without, each hash once."""
+    occ = at.select("id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("id", "x.h", "x.pos")
+    near = occ.join(small(_repeated(occ)), "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at"))
+    src = source(docs, key, text).join(small(near, "24 + 4 * size(at)"), "id")
+    return cut(src.mapInPandas(_window(positions), "id long, h array<long>" + (", pos array<int>" if positions else "")))
+
+
+def links(docs: DataFrame, at: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id_a, id_b): pairs of different texts that share a stretch."""
+    more = copies(at).where("id <> rep").select("id")
+    win = windows(docs, at.join(more, "id", "left_anti"), key, text, False).select("id", F.explode("h").alias("h"))
+    sets = win.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("sig")).where("n > 1")
+    one = sets.groupBy("n", "sig").agg(F.min("h").alias("h")).select("h")
+    member = cut(win.join(small(one), "h", "left_semi").distinct())
+    a, b = member.alias("a"), member.alias("b")
     met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")))
-    # The windows two texts share on one diagonal, at most one text's own.
-    diag = met.groupBy(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), (F.col("a.pos") - F.col("b.pos")).alias("shift")).agg(F.collect_set("a.pos").alias("at"))
-    full = with_texts(cut(diag), docs.where(F.length(text) >= MIN_SPAN), key, text)
-    ext = full.mapInPandas(_extend, "id_a long, id_b long, start_a long, start_b long, length long")
-    return ext.distinct()
+    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return stretches(docs, key, text).select("id_a", "id_b").distinct()
+    """(id_a, id_b) of all documents that share a stretch, copies included."""
+    from .neardup import with_copies
 
+    at = anchors(docs, key, text)
+    return with_copies(links(docs, at, key, text), copies(at))
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    reach = MIN_SPAN - WINDOW
-    for b in batches:
-        ids, hs, ps = [], [], []
-        for i, text, at in zip(b["id"], b["text"], b["at"]):
-            h = rolling(codes(text), MIN_SPAN)
-            keep = np.zeros(len(h), bool)
-            for p in at:
-                keep[max(0, p - reach) : p + 1] = True
-            w = np.flatnonzero(keep)
-            ids.append(np.full(len(w), i, np.int64))
-            hs.append(signed(h[w]))
-            ps.append(w.astype(np.int32))
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        yield pd.DataFrame({"id": cat(ids, np.int64), "h": cat(hs, np.int64), "pos": cat(ps, np.int32)})
+
+def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, rep): every text long enough and the one that stands for its copies."""
+    at = anchors(docs, key, text)
+    many = copies(at)
+    return at.select("id").distinct().join(many, "id", "left").select(F.col("id").alias(key), F.coalesce("rep", "id").alias("rep"))
 
 
 def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end) of the maximal stretches of a document, in code points,
     each window of which stands in another document too."""
-    at = cut(anchors(docs, key, text))
-    shared = at.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    where = at.join(shared, "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at"))
-    win = source(docs, key, text).join(where, "id").mapInPandas(_windows, "id long, h long, pos int")
-    win = cut(win)
-    again = win.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    hit = win.join(again, "h", "left_semi").select("id", "pos").distinct()
+    win = windows(docs, anchors(docs, key, text), key, text, True)
+    win = win.select("id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("id", "x.h", "x.pos")
+    hit = win.join(small(_repeated(win)), "h", "left_semi").select("id", "pos").distinct()
     w = Window.partitionBy("id").orderBy("pos")
     run = hit.withColumn("new", (F.col("pos") - F.lag("pos", 1, -(10**9)).over(w) > MIN_SPAN).cast("int")).withColumn("run", F.sum("new").over(w))
     return run.groupBy("id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + MIN_SPAN).alias("end")).drop("run")

@@ -1,22 +1,25 @@
 """Problem 7: texts of held-out splits that also stand in the training split.
 
 Method.  Words are shingled by five.  Each band of ``BAND`` consecutive shingles
-puts its minwise hash into a bucket (the same shingle is often the minimum of
-many bands, so a text keeps about 2 / (BAND + 1) of its shingles).  A held-out
-text repeated up to small edits shares at least one whole band with its source:
-at most a fifth of its shingles may be missing and every edit inside it takes
-four or more neighbouring shingles, so by counting runs one of eight or more
-shingles is left whole.  Whole-text minhash could not see a short text inside a
-long one, which the containment asked for here allows.
-
-Buckets are joined only across splits (held-out x train).  A held-out text looks
-up only the rarer part of its buckets (``LOOKUP`` of them, by the number of
-training texts in the bucket): edits that leave four fifths of the shingles
-leave more than 1 - LOOKUP of the buckets, so the rarer part always holds a
-shared one, and furniture that a hot site repeats on every page is not joined.
+of a training text puts its minwise hash into a bucket; the same shingle is often
+the least of many bands.  A held-out text looks its shingles up in those buckets,
+so buckets are only joined across splits.  Whole-text minhash could not see a short
+text inside a long one, which the containment asked for here allows.
+
+Let a held-out text have n distinct shingles, 0.8 n of them in a training text.
+Each place where the two part (words replaced, added, left out or moved) costs at
+least four shingles, so at most 0.05 n + 1 stretches hold the common ones, and a
+stretch of k holds k // BAND whole bands, each of which puts one common shingle into
+a bucket: with BAND = 4 at least (0.8 n - 3 (0.05 n + 1)) / 4 = 0.1625 n - 0.75 of
+the text's shingles are found there.  So the ``n - floor(0.1625 n - 0.75) + 1``
+shingles rarest in the training buckets are looked up, one of which is always found;
+what a hot site repeats on every page is looked up only by texts that consist
+of it.  (Repeated shingles count once in n but in every stretch they stand in.)
 Texts with the same words are one class per side, joined once.  Candidates are
 verified exactly: containment and Jaccard similarity of the shingle sets.
 
+``report`` counts confirmed classes with their sizes and expands no copies.
+
 Defined results: rows without key are left out; rows without verdict, with NULL or short text on the held-out
 side, have no pairs; an empty table gives none; verdicts that name two splits
 for one domain count as the greater name; extra columns are ignored.
@@ -33,13 +36,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shingles, signed, word_hashes, words
+from .common import cut, shingles, signed, small, word_hashes, words
 
 SHINGLE = 5
-BAND = 8
-LOOKUP = 0.6
+BAND = 4
 MIN_WORDS = 40
 THRESHOLD = 0.8
+TRAIN, HELD = "split = 'train'", "split in ('val', 'test')"
 
 
 def band_minima(s: np.ndarray) -> np.ndarray:
@@ -51,19 +54,26 @@ def band_minima(s: np.ndarray) -> np.ndarray:
     return np.unique(sliding_window_view(s, BAND).min(1))
 
 
+def lookups(n: int) -> int:
+    """How many of n distinct shingles, rarest first, are looked up."""
+    return min(n, n - int(np.floor(0.1625 * n - 0.75)) + 1) if n else 0
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids, doms, ns, classes, buckets = [], [], [], [], []
-        for i, d, text in zip(b["id"], b["domain"], b["text"]):
+        ids, splits, ns, classes, buckets = [], [], [], [], []
+        for i, split, text in zip(b["id"], b["split"], b["text"]):
             h = word_hashes(words(text))
-            if len(h) >= SHINGLE:
+            if len(h) >= (SHINGLE if split == "train" else MIN_WORDS):
+                s = shingles(h, SHINGLE)
+                s = band_minima(s) if split == "train" else np.unique(s)
                 ids.append(i)
-                doms.append(d)
-                ns.append(len(h))
+                splits.append(split)
+                ns.append(lookups(len(s)))
                 classes.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
-                buckets.append(signed(band_minima(shingles(h, SHINGLE))))
+                buckets.append(signed(s))
         if ids:
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "domain": doms, "n_words": np.array(ns, np.int64), "cls": classes, "buckets": buckets})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "split": splits, "n": np.array(ns, np.int64), "cls": classes, "buckets": buckets})
 
 
 def split_of_domain(verdicts: DataFrame) -> DataFrame:
@@ -73,35 +83,33 @@ def split_of_domain(verdicts: DataFrame) -> DataFrame:
 
 
 def sketches(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(id, split, n, cls, buckets) of the texts of any split that are long enough;
+    lineage is cut, as classes, candidates and members read it."""
     src = pages.select(F.col("fetch_id").cast("long").alias("id"), "domain", "text").where("length(text) >= 9 and domain is not null and id is not null")
-    sk = src.mapInPandas(_sketch, "id long, domain string, n_words long, cls string, buckets array<long>")
-    return cut(sk.join(split_of_domain(verdicts), "domain").drop("domain"))
-
-
-def candidates(sk: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidate pairs of representatives, held-out members, training members)."""
-    train = sk.where("split = 'train'")
-    held = sk.where(F.col("split").isin("val", "test") & (F.col("n_words") >= MIN_WORDS))
-    train_m = train.select("id", "cls")
-    held_m = held.select("id", "cls")
-    first = lambda d: d.groupBy("cls").agg(F.min("id").alias("rep"))
-    t_rep, h_rep = first(train_m), first(held_m)
-    t = train.join(t_rep, train["id"] == t_rep["rep"], "left_semi").select(F.col("id").alias("t"), F.explode("buckets").alias("bucket"))
-    h = held.join(h_rep, held["id"] == h_rep["rep"], "left_semi").select(
-        F.col("id").alias("h"), F.size("buckets").alias("n"), F.explode("buckets").alias("bucket")
-    )
+    split = small(split_of_domain(verdicts).where(F.col("split").isin("train", "val", "test")), "32 + length(domain)")
+    return cut(src.join(split, "domain").select("id", "split", "text").mapInPandas(_sketch, "id long, split string, n long, cls string, buckets array<long>"))
+
+
+def members(sk: DataFrame, side: str) -> DataFrame:
+    """(id, split, rep) of one side: the least id stands for the same words."""
+    m = sk.where(side).select("id", "split", "cls")
+    return m.join(m.groupBy("cls").agg(F.min("id").alias("rep")), "cls").select("id", "split", "rep").distinct()
+
+
+def candidates(sk: DataFrame) -> DataFrame:
+    """(id_a, id_b): held-out and training representatives that share a bucket."""
+
+    def side(where: str) -> DataFrame:
+        x = sk.where(where)
+        more = members(sk, where).where("id <> rep").select("id")
+        return x.join(more, "id", "left_anti")
+
+    t = side(TRAIN).select(F.col("id").alias("t"), F.explode("buckets").alias("bucket"))
+    h = side(HELD).select(F.col("id").alias("h"), "n", F.explode("buckets").alias("bucket"))
     df = t.groupBy("bucket").agg(F.count("*").alias("df"))
-    by_rarity = Window.partitionBy("h").orderBy("df", "bucket")
-    look = (
-        h.join(df, "bucket", "left")
-        .withColumn("r", F.row_number().over(by_rarity.orderBy(F.coalesce("df", F.lit(0)), "bucket")))
-        .where(F.col("r") <= F.ceil(F.col("n") * LOOKUP) + 1)
-        .where("df is not null")
-        .select("h", "bucket")
-    )
-    found = look.join(t, "bucket").select(F.col("h").alias("id_a"), F.col("t").alias("id_b")).distinct()
-    members = lambda m, rep: m.join(rep, "cls").select("id", "rep")
-    return found, members(held_m, h_rep), members(train_m, t_rep)
+    by_rarity = Window.partitionBy("h").orderBy(F.coalesce("df", F.lit(0)), "bucket")
+    look = h.join(df, "bucket", "left").withColumn("r", F.row_number().over(by_rarity)).where("r <= n and df is not null").select("h", "bucket")
+    return look.join(t, "bucket").select(F.col("h").alias("id_a"), F.col("t").alias("id_b")).distinct()
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,32 +132,38 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id_a": b["id_a"], "id_b": b["id_b"], "containment": c, "jaccard": j})
 
 
-def overlaps(pages: DataFrame, verdicts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(held_id, train_id, containment, jaccard) of every confirmed pair."""
+def overlaps(pages: DataFrame, sk: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id_a, id_b, containment, jaccard) of the confirmed pairs of held-out and
+    training representatives."""
     from .neardup import with_texts
 
-    sk = sketches(pages, verdicts)
-    found, held, train = candidates(sk)
-    checked = with_texts(cut(found), pages, "fetch_id", "text").mapInPandas(_verify, "id_a long, id_b long, containment double, jaccard double")
-    checked = checked.where(F.col("containment") >= threshold)
-    return (
-        checked.join(held.select(F.col("rep").alias("id_a"), F.col("id").alias("held_id")), "id_a")
-        .join(train.select(F.col("rep").alias("id_b"), F.col("id").alias("train_id")), "id_b")
-        .select("held_id", "train_id", "containment", "jaccard")
-    )
+    full = with_texts(cut(candidates(sk)), pages, "fetch_id", "text")
+    checked = full.mapInPandas(_verify, "id_a long, id_b long, containment double, jaccard double")
+    return checked.where(F.col("containment") >= threshold)
 
 
 def pairs(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    o = overlaps(pages, verdicts)
+    sk = sketches(pages, verdicts)
+    held, train = (members(sk, s) for s in (HELD, TRAIN))
+    o = (
+        overlaps(pages, sk)
+        .join(held.select(F.col("rep").alias("id_a"), F.col("id").alias("held_id")), "id_a")
+        .join(train.select(F.col("rep").alias("id_b"), F.col("id").alias("train_id")), "id_b")
+    )
     return o.select(F.least("held_id", "train_id").alias("fetch_id_a"), F.greatest("held_id", "train_id").alias("fetch_id_b")).distinct()
 
 
 def report(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Per held-out split and source of the page: overlapping rows and pairs."""
-    o = overlaps(pages, verdicts)
-    meta = pages.select(F.col("fetch_id").cast("long").alias("held_id"), "domain", "source").join(split_of_domain(verdicts), "domain").drop("domain")
+    """Per held-out split and source of the page: overlapping rows, pairs and their
+    mean similarity, counted by classes."""
+    sk = sketches(pages, verdicts)
+    size = members(sk, TRAIN).groupBy(F.col("rep").alias("id_b")).agg(F.count("*").alias("size"))
+    by_held = overlaps(pages, sk).join(size, "id_b").groupBy(F.col("id_a").alias("rep"))
+    by_held = by_held.agg(F.sum("size").alias("pairs"), F.sum(F.col("size") * F.col("jaccard")).alias("sum"))
+    held = members(sk, HELD).join(by_held, "rep")
+    source = pages.select(F.col("fetch_id").cast("long").alias("id"), "source").distinct()
     return (
-        o.join(meta, "held_id")
+        held.join(source, "id")
         .groupBy("split", "source")
-        .agg(F.count_distinct("held_id").alias("rows"), F.count("*").alias("pairs"), F.round(F.avg("jaccard"), 4).alias("mean_jaccard"))
+        .agg(F.count_distinct("id").alias("rows"), F.sum("pairs").alias("pairs"), F.round(F.sum("sum") / F.sum("pairs"), 4).alias("mean_jaccard"))
     )

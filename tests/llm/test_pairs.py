@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from tesserine.llm import neardup, spans, splitleak
@@ -79,16 +80,38 @@ def test_long_chain_is_one_component(spark):
     assert {r["root"] for r in neardup.components(e).collect()} == {1}
 
 
-def test_anchor_cover():
-    """Fingerprints that differ in one symbol share an anchor in that table."""
-    import numpy as np
-
-    fp = np.random.default_rng(1).integers(0, 1 << 60, (neardup.TABLES, neardup.N), dtype=np.uint64)
-    other = fp.copy()
-    for t in range(neardup.TABLES):
-        other[t, t % neardup.N] ^= np.uint64(12345)
-    a, b = (neardup.anchors(x).reshape(neardup.TABLES, neardup.N) for x in (fp, other))
-    assert all(set(x) & set(y) for x, y in zip(a, b))
+def test_covering_code():
+    """Every word is within RADIUS of one code word; words up to 2 * REACH apart
+    share an anchor though their words differ, others need not."""
+    code = [w for w in range(1 << neardup.BITS) if neardup.syndrome(w) == 0]
+    assert len(code) == 1 << 11
+    flips = [0, *(1 << i for i in range(neardup.BITS))]
+    assert len({c ^ f for c in code for f in flips}) == len(code) * len(flips) == 1 << neardup.BITS
+    r = np.random.default_rng(1)
+    words_ = r.integers(0, 1 << neardup.BITS, neardup.TABLES).astype(np.uint64)
+    values = r.integers(0, 1 << 60, (neardup.TABLES, neardup.PREFIX), dtype=np.uint64)
+    a = neardup.anchors(values, words_)
+    for d in (0, 1, 2):
+        for _ in range(20):
+            other = words_ ^ np.array([sum(1 << i for i in r.choice(neardup.BITS, d, replace=False)) for _ in words_], np.uint64)
+            b = neardup.anchors(values, other)
+            assert all(set(x) & set(y) for x, y in zip(a, b))
+    assert not set(a.ravel()) & set(neardup.anchors(values + np.uint64(1), words_).ravel())
+
+
+def test_near_copies_meet_their_hub_only(spark):
+    base = text(120).split()
+    rows = [(i, " ".join([*base, f"counter{i}"])) for i in range(80)] + [(200 + i, text(90)) for i in range(5)]
+    t = spark.createDataFrame(rows, "fetch_id long, text string")
+    sk = neardup.sketches(t, "fetch_id", "text")
+    at = neardup.stands(sk, neardup.copies(sk))
+    first = neardup.hub_candidates(at).collect()
+    assert len(first) < 5 * 80
+    root = neardup.components(spark.createDataFrame(first, "id_a long, id_b long"))
+    assert neardup.rest_candidates(at, root).count() == 0
+    g = {r["fetch_id"]: r["group_id"] for r in neardup.groups(t).collect()}
+    assert all(g[i] == 0 for i in range(80)) and all(g[i] == i for i in range(200, 205))
+    assert neardup.pairs(t).count() == 80 * 79 // 2
 
 
 def leak_tables(spark):
@@ -116,6 +139,32 @@ def test_leaks(spark):
     assert sum(rep.values()) == len(want)
 
 
+def test_repeated_phrase_leaks(spark):
+    """A phrase repeated among varying words, one word of it changed."""
+    rows = []
+    for i in range(60):
+        phrase = [f"p{i}x{k}" for k in range(9)]
+        blocks = [[f"v{i}x{b}x{k}" for k in range(3)] for b in range(5)]
+        other = [w if k != i % 9 else f"q{i}" for k, w in enumerate(phrase)]
+        train = " ".join(w for b in blocks for w in phrase + b)
+        held = " ".join(w for n, b in enumerate(blocks) for w in (other if n == 2 else phrase) + b)
+        rows += [(2 * i, "tr.example", train, "live"), (2 * i + 1, "va.example", held, "live")]
+    pages = spark.createDataFrame(rows, "fetch_id long, domain string, text string, source string")
+    verdicts = spark.createDataFrame([("tr.example", "train"), ("va.example", "val")], "domain string, split string")
+    want = {(r[0], r[0] + 1) for r, h in zip(rows[::2], rows[1::2]) if len(runs(r[2], 5) & runs(h[2], 5)) >= 0.8 * len(runs(h[2], 5))}
+    assert len(want) > 40 and {tuple(r) for r in splitleak.pairs(pages, verdicts).collect()} == want
+
+
+def test_copies_are_counted_not_expanded(spark):
+    a = text(60)
+    rows = [(i, "tr.example" if i % 2 else "va.example", a, "live" if i < 10 else "archive") for i in range(20)]
+    pages = spark.createDataFrame(rows, "fetch_id long, domain string, text string, source string")
+    verdicts = spark.createDataFrame([("tr.example", "train"), ("va.example", "val")], "domain string, split string")
+    got = {(r["split"], r["source"]): (r["rows"], r["pairs"], r["mean_jaccard"]) for r in splitleak.report(pages, verdicts).collect()}
+    assert got == {("val", "live"): (5, 50, 1.0), ("val", "archive"): (5, 50, 1.0)}
+    assert splitleak.candidates(splitleak.sketches(pages, verdicts)).count() == 1
+
+
 def test_leaks_empty(spark):
     _, pages, verdicts = leak_tables(spark)
     assert splitleak.pairs(pages.limit(0), verdicts).count() == 0 and splitleak.pairs(pages, verdicts.limit(0)).count() == 0
@@ -158,5 +207,15 @@ def test_spans(spark):
         assert share[i]["shared_chars"] == len(cover)
 
 
+def test_footer_costs_a_row_a_text(spark):
+    foot = text(120)
+    rows = [(i, text(80) + " " + foot) for i in range(40)] + [(100, rows_ := "ab" * 400), (101, rows_), (102, "x" + rows_)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = spans.anchors(docs)
+    assert {tuple(r) for r in spans.copies(at).collect()} == {(100, 100), (101, 100)}
+    assert {tuple(r) for r in spans.links(docs, at).collect()} == {(i, j) for i in range(40) for j in range(i + 1, 40)} | {(100, 102)}
+    assert {(r["doc_id"], r["rep"]) for r in spans.members(docs).collect() if r["doc_id"] > 99} == {(100, 100), (101, 100), (102, 102)}
+
+
 def test_spans_empty(spark):
     assert spans.pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
