@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes up to which a measured table may be broadcast; larger ones are shuffled.
-SMALL_BYTES = 32 << 20
+SMALL_BYTES = 8 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -374,7 +374,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     line = template.judged_lines(page)
     line = cut(line)
     skip = line.where("furniture").groupBy("fetch_id").agg(F.collect_set("no").alias("skip"))
-    drop = residue.found(page, line).union(page.where("garbled_text or garbled_html").select("fetch_id")).distinct()
+    drop = residue.found(page, line, pages).union(page.where("garbled_text or garbled_html").select("fetch_id")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)

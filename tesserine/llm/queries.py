@@ -42,8 +42,9 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    pages = template.parsed(read(spark, d, "fetch_results"), read(spark, d, "lang_samples"))
-    return residue.found(pages, template.judged_lines(pages))
+    source = read(spark, d, "fetch_results")
+    pages = template.parsed(source, read(spark, d, "lang_samples"))
+    return residue.found(pages, template.judged_lines(pages), source)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

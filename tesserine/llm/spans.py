@@ -28,7 +28,7 @@ has probability below W^2 / 2^65.
 
 Defined results: rows without key are left out; NULL, empty and shorter texts
 have no stretch; a stretch twice in one document only is not shared; periodic
-texts count each distinct window once; an empty table gives no rows; extra
+texts count each distinct window once; rows that repeat a key count once; an empty table gives no rows; extra
 columns are ignored.
 """
 
@@ -94,6 +94,12 @@ def _anchor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": b["id"], "digest": b["digest"], "h": hs, "pos": ps})
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """One row per id; nothing is moved where no id is repeated."""
+    many = df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return df if many.isEmpty() else cut(df.dropDuplicates(["id"]))
+
+
 def source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where((F.length("text") >= MIN_SPAN) & F.col("id").isNotNull())
 
@@ -101,18 +107,13 @@ def source(docs: DataFrame, key: str, text: str) -> DataFrame:
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, digest, h, pos): kept windows of every text; lineage is cut."""
     src = source(docs, key, text).withColumn("digest", F.md5("text"))
-    return cut(src.mapInPandas(_anchor, "id long, digest string, h array<long>, pos array<int>"))
+    return _once(cut(src.mapInPandas(_anchor, "id long, digest string, h array<long>, pos array<int>")))
 
 
 def copies(at: DataFrame) -> DataFrame:
     """(id, rep) of the texts that have exact copies."""
     many = at.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    return at.select("id", "digest").distinct().join(many, "digest").select("id", "rep")
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(h) of the hashes that stand in more than one document."""
-    return rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    return at.select("id", "digest").join(many, "digest").select("id", "rep")
 
 
 def _window(positions: bool):
@@ -138,10 +139,11 @@ def _window(positions: bool):
 def windows(docs: DataFrame, at: DataFrame, key: str, text: str, positions: bool) -> DataFrame:
     """Hashes of all windows of MIN_SPAN around the repeated kept ones: an array
     for each text, with their positions or, without, each hash once."""
+    many = at.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     occ = at.select("id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("id", "x.h", "x.pos")
-    near = occ.join(small(_repeated(occ)), "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at"))
+    near = occ.join(small(many), "h", "left_semi").groupBy("id").agg(F.collect_set("pos").alias("at"))
     src = source(docs, key, text).join(small(near, "24 + 4 * size(at)"), "id")
-    return cut(src.mapInPandas(_window(positions), "id long, h array<long>" + (", pos array<int>" if positions else "")))
+    return _once(cut(src.mapInPandas(_window(positions), "id long, h array<long>" + (", pos array<int>" if positions else ""))))
 
 
 def links(docs: DataFrame, at: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,15 +170,16 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, rep): every text long enough and the one that stands for its copies."""
     at = anchors(docs, key, text)
     many = copies(at)
-    return at.select("id").distinct().join(many, "id", "left").select(F.col("id").alias(key), F.coalesce("rep", "id").alias("rep"))
+    return at.select("id").join(many, "id", "left").select(F.col("id").alias(key), F.coalesce("rep", "id").alias("rep"))
 
 
 def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end) of the maximal stretches of a document, in code points,
     each window of which stands in another document too."""
     win = windows(docs, anchors(docs, key, text), key, text, True)
+    many = win.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     win = win.select("id", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("id", "x.h", "x.pos")
-    hit = win.join(small(_repeated(win)), "h", "left_semi").select("id", "pos").distinct()
+    hit = win.join(small(many), "h", "left_semi").select("id", "pos").distinct()
     w = Window.partitionBy("id").orderBy("pos")
     run = hit.withColumn("new", (F.col("pos") - F.lag("pos", 1, -(10**9)).over(w) > MIN_SPAN).cast("int")).withColumn("run", F.sum("new").over(w))
     return run.groupBy("id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + MIN_SPAN).alias("end")).drop("run")

@@ -1,24 +1,28 @@
 """Problem 2: site furniture around the body of a page.
 
-Method: equivalence-class template deduction.  A page's html becomes tokens: the
-opening and closing of every container, told apart by its path of containers
-(the role of a token), and every run of text in its container.  The occurrence
-vector of a token over the pages of its host is kept as an order-free hash of
-(page, count) pairs, so vectors are formed by map-side combined aggregates
-however many pages a host has.  Tokens of one vector form an equivalence class;
-a class is valid if it has at least two tokens on at least two pages and its
-tokens stand in the same order on all of them.  Container paths nest the classes
-into a template whose slots are the containers.  Of the slots opened by valid
-classes the body is the one that holds most words a page (any slot on pages where
-no class is valid); a slot's class may be valid on another host or in the pool, as
-a host may have its body's container once.  Text tokens that share their vector
-with other tokens and cover most pages of a large host are template too, wherever
-they stand.
-Everything outside the body slot of a page is furniture.
-
-Hosts with fewer than ``HOST_PAGES`` pages show no vectors of their own; their
-pages are pooled into one group, whose slot sizes also serve as a prior (worth
-``PRIOR`` pages) for the larger hosts.
+Method: equivalence-class template deduction.  A page's html becomes tokens: every
+container, told apart by its path of containers (the role of its tokens), and every
+run of text in its container.  The occurrence vector of a token over the pages of
+its host is kept as an order-free hash of (page, count) pairs with the number of
+pages, so vectors are formed by map-side combined aggregates however many pages a
+host has.  Tokens of one vector form an equivalence class (a container's opening
+and closing always share theirs).  A class is valid if it has at least two tokens
+on at least two pages once those out of order are left out: sorted by their first,
+their last and their mean place on the pages, its tokens come out the same, each
+with a place of its own.
+
+Valid containers, nested by their paths, are the host's template; text tokens of a
+valid class are template text if they stand on at least ``TEMPLATE_SHARE`` of the
+pages of a host and ``TEMPLATE_PAGES`` of them (fewer pages may be copies of one
+another).  A container outside the template belongs to the slot of the valid
+container around it.  What remains in the slots once the template's text is taken
+out is the pages' own; the body is the deepest slot that at least ``MAIN`` of the
+host's remaining words pass through, and everything else is furniture.
+
+A page that lacks its host's body slot follows another template, and a page alone
+on its host has none to compare with; both are read by the containers that pages
+of different hosts have in common: their body is the page's slot with most words a
+page across the collection (12 % of the pages of sf0.1).
 
 The lines of the extracted text are found again among the text tokens, after
 repair of wrong encodings.  Lines found nowhere (pages without html, lost
@@ -39,20 +43,19 @@ from itertools import accumulate, chain
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import WORD, cut
+from .common import WORD, cut, small
 from .encoding import Analyser, samples_of
-from .residue import MASKED_WORDS, filler_words, line_mask, page_places
+from .residue import line_mask, orphan, page_places, title_of
 
-HOST_PAGES = 4
-PRIOR = 4.0
-TEMPLATE_PAGES, TEMPLATE_SHARE = 10, 0.6
+TEMPLATE_PAGES, TEMPLATE_SHARE = 6, 0.6
+MAIN = 0.5
 SEEN, CLEAR = 3, 8
 FORM_CACHE = 100_000
-_forms: dict[str, tuple[int, str, int | None, str, int]] = {}
+_forms: dict[str, tuple[int, str, int, str, list[str]]] = {}
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -132,14 +135,14 @@ def shape(line: str, n: int) -> str:
     return size + ("." if s[-1:] in ".!?”»\"…" else "") + ("-" if s[:1] in "-•*" else "") + ("|" if n < 21 and _PARTS.search(s[1:-1]) else "")
 
 
-def line_form(line: str) -> tuple[int, str, int | None, str, int]:
-    """(words, key, mask, shape, filler words) of a line; those of short lines,
-    which recur, are kept per worker."""
+def line_form(line: str) -> tuple[int, str, int, str, list[str]]:
+    """(words, key, mask, shape, the words) of a line; those of short lines, which
+    recur, are kept per worker."""
     got = _forms.get(line)
     if got is None:
         ws = WORD.findall(line.lower())
         n = len(ws)
-        got = n, "".join(ws), line_mask(line) if n <= MASKED_WORDS else None, shape(line, n), filler_words(ws)
+        got = n, "".join(ws), line_mask(line), shape(line, n), ws
         if n < 9:
             if len(_forms) > FORM_CACHE:
                 _forms.clear()
@@ -147,15 +150,24 @@ def line_form(line: str) -> tuple[int, str, int | None, str, int]:
     return got
 
 
-def analyse(text: str, page: str | None, an: Analyser) -> tuple[list, list, list, bool, bool]:
-    """(lines, slots, tokens, whether text and html are garbled); see SCHEMA."""
+def analyse(text: str, page: str | None, an: Analyser, function: frozenset[str] | set[str] = frozenset()) -> tuple[list, list, list, list, set[str], bool, bool]:
+    """(lines, slots, tokens, orphan lines, words, whether text and html are
+    garbled); see SCHEMA."""
     garbled = an.affected(text), an.affected(page)
     if garbled[0]:
         text = an.restore(text)[0]
     lost = "\ufffd" in text or "?" in text
+    forms, orphans, said, keys = [], [], set(), {}
+    for i, x in enumerate(text.split("\n")):
+        if x.strip():
+            n, k, mask, form, ws = line_form(x)
+            forms.append((i, x, n, k, mask, form))
+            keys[x] = k
+            said.update(ws)
+            if function and orphan(x, ws, function):
+                orphans.append((i, ws))
     where: dict[str, tuple[tuple[int, ...], int]] = {}
     loose: dict[str, tuple[tuple[int, ...], int]] = {}
-    slots: dict[int, int] = {}
     tokens: dict[int, list] = {}
     paths: dict[tuple[str, ...], tuple[int, ...]] = {}
     if page:
@@ -167,28 +179,22 @@ def analyse(text: str, page: str | None, an: Analyser) -> tuple[list, list, list
                 up = paths[path] = tuple(_id(*path[: i + 1]) for i in range(len(path))) or (0,)
             slot = up[-1]
             if not run:
-                slots.setdefault(slot, 0)
                 t, kind = slot, 0
             else:
-                ws = WORD.findall(run.lower())
-                k = "".join(ws)
+                k = keys.get(run)
+                if k is None:
+                    k = key_of(run)
                 if not k:
                     continue
                 t, kind = _id(str(slot), k), 1
-                slots[slot] = slots.get(slot, 0) + len(ws)
                 where.setdefault(k, (up, t))
                 if lost:
                     loose.setdefault(_HIGHER.sub("", k), (up, t))
             tok = tokens.setdefault(t, [t, 0, pos, kind])
             tok[1] += 1
     lines = []
-    raw = text.split("\n")
-    forms = []
-    for i, x in enumerate(raw):
-        if x.strip():
-            forms.append((i, x, *line_form(x)))
-    shapes = [f[5] for f in forms]
-    for j, (i, x, n, k, mask, _, filler) in enumerate(forms):
+    slots: dict[tuple[int, ...], int] = {}
+    for j, (i, x, n, k, mask, form) in enumerate(forms):
         got = where.get(k) if k else None
         if got is None and k:
             parts = [key_of(p) for p in _PARTS.split(x)]
@@ -197,18 +203,22 @@ def analyse(text: str, page: str | None, an: Analyser) -> tuple[list, list, list
                 got = min(found)
             elif lost and len(low := _HIGHER.sub("", k)) > 3:
                 got = loose.get(low)
-        trio = "/".join((shapes[j - 1] if j else "^", shapes[j], shapes[j + 1] if j + 1 < len(shapes) else "$"))
-        lines.append((i, list(got[0]) if got else [], got[1] if got else 0, n, mask, trio, filler))
-    return lines, list(slots.items()), list(tokens.values()), *garbled
+        trio = "/".join((forms[j - 1][5] if j else "^", form, forms[j + 1][5] if j + 1 < len(forms) else "$"))
+        lines.append((i, list(got[0]) if got else [], got[1] if got else 0, n, mask, trio))
+        if got:
+            slots[got[0]] = slots.get(got[0], 0) + n
+    return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said, *garbled
 
 
 _I64, _I32, _STR = pa.int64(), pa.int32(), pa.string()
-_LINE = pa.struct([("no", _I32), ("up", pa.list_(_I64)), ("tok", _I64), ("words", _I32), ("mask", _I64), ("shape", _STR), ("filler", _I32)])
+_LIST = pa.list_
+_LINE = pa.struct([("no", _I32), ("up", _LIST(_I64)), ("tok", _I64), ("words", _I32), ("mask", _I64), ("shape", _STR)])
 _ARROW = pa.schema(
     [
-        ("fetch_id", _I64), ("domain", _STR), ("lines", pa.list_(_LINE)), ("slots", pa.list_(pa.struct([("slot", _I64), ("words", _I32)]))),
-        ("toks", pa.list_(pa.struct([("tok", _I64), ("n", _I32), ("pos", _I32), ("kind", _I32)]))), ("places", pa.list_(pa.struct([("form", _STR), ("name", _STR)]))),
-        ("untitled", pa.bool_()), ("garbled_text", pa.bool_()), ("garbled_html", pa.bool_()), ("spam", pa.bool_()),
+        ("fetch_id", _I64), ("domain", _STR), ("lines", _LIST(_LINE)), ("slots", _LIST(pa.struct([("slot", _I64), ("up", _LIST(_I64)), ("words", _I32)]))),
+        ("toks", _LIST(pa.struct([("tok", _I64), ("n", _I32), ("pos", _I32), ("kind", _I32)]))), ("orphans", _LIST(pa.struct([("no", _I32), ("words", _LIST(_STR))]))),
+        ("places", _LIST(pa.struct([("name", _STR), ("context", _I64)]))), ("unfilled", pa.bool_()), ("title", _STR), ("unrelated", pa.bool_()),
+        ("garbled_text", pa.bool_()), ("garbled_html", pa.bool_()), ("spam", pa.bool_()),
     ]
 )
 SCHEMA = from_arrow_schema(_ARROW)
@@ -235,17 +245,15 @@ def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False) -> Data
     rows = samples_of(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        an = Analyser(rows)
-        prose = spam.ProseModel(rows) if spam_too else None
+        an, prose = Analyser(rows), spam.ProseModel(rows)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 out = []
                 for i, d, t, h, title in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns)):
                     t = t or ""
-                    lines, slots, toks, *garbled = analyse(t, h, an)
-                    places, untitled = page_places(t, title)
-                    judged = spam.judge(t, prose, an) if prose else None
-                    out.append((i, d, lines, slots, toks, places, untitled, *garbled, bool(judged and judged[0])))
+                    lines, slots, toks, orphans, said, *garbled = analyse(t, h, an, prose.function)
+                    judged = spam.judge(t, prose, an) if spam_too else None
+                    out.append((i, d, lines, slots, toks, orphans, *page_places(t, title), *title_of(title, d, said), *garbled, bool(judged and judged[0])))
                 yield pa.RecordBatch.from_arrays([_column(list(c), f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
     src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), F.coalesce("domain", F.lit("")).alias("domain"), "text", "html", "title")
@@ -253,68 +261,71 @@ def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False) -> Data
     return cut(src.mapInArrow(run, SCHEMA))
 
 
-def groups_of(pages: DataFrame) -> DataFrame:
-    """(fetch_id, grp): the host where it has pages enough, else the pool ''."""
-    big = pages.groupBy("domain").agg(F.count("*").alias("n")).where((F.col("n") >= HOST_PAGES) & (F.col("domain") != "")).select("domain", F.col("domain").alias("grp"))
-    return pages.select("fetch_id", "domain").join(big, "domain", "left").select("fetch_id", F.coalesce("grp", F.lit("")).alias("grp"))
-
-
-def classes(pages: DataFrame, grp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid containers, template texts): (grp, tok) of valid equivalence classes."""
-    tok = pages.select("fetch_id", F.explode("toks").alias("t")).select("fetch_id", "t.*").join(grp, "fetch_id")
-    vector = tok.groupBy("grp", "tok", "kind").agg(F.bit_xor(F.xxhash64("fetch_id", "n")).alias("sig"), F.count("*").alias("support")).where("support > 1")
-    of = Window.partitionBy("grp", "sig", "support")
-    box = vector.where("kind = 0").withColumn("size", F.count("*").over(of)).where("size > 1")
-    member = tok.where("kind = 0").join(box.select("grp", "tok", "sig", "support"), ["grp", "tok"])
-    order = member.groupBy("fetch_id", "grp", "sig", "support").agg(F.xxhash64(F.expr("transform(array_sort(collect_list(struct(pos, tok))), x -> x.tok)")).alias("seq"))
-    valid = order.groupBy("grp", "sig", "support").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).where("lo = hi")
-    boxes = box.join(valid.select("grp", "sig", "support"), ["grp", "sig", "support"], "left_semi").select("grp", "tok")
-    size = grp.where("grp <> ''").groupBy("grp").agg(F.count("*").alias("pages")).where(F.col("pages") >= TEMPLATE_PAGES)
-    most = vector.join(size, "grp").where(F.col("support") >= F.col("pages") * TEMPLATE_SHARE)
-    texts = most.withColumn("size", F.count("*").over(of)).where("kind = 1 and size > 1").select("grp", "tok")
-    return boxes, texts
-
-
-def body_slots(pages: DataFrame, grp: DataFrame, boxes: DataFrame) -> DataFrame:
-    """(fetch_id, body): the slot that holds a page's body, one that a valid class
-    opens on any host if the page has such a slot."""
-    s = pages.select("fetch_id", F.explode("slots").alias("s")).select("fetch_id", "s.slot", "s.words").join(grp, "fetch_id")
-    own = s.groupBy("grp", "slot").agg(F.sum("words").alias("sum"), F.count("*").alias("n"))
-    pool = s.groupBy("slot").agg(F.avg("words").alias("prior"))
-    score = (
-        own.join(pool, "slot")
-        .join(boxes.select(F.col("tok").alias("slot")).distinct().withColumn("valid", F.lit(1)), "slot", "left")
-        .select("grp", "slot", F.coalesce("valid", F.lit(0)).alias("valid"), ((F.col("sum") + PRIOR * F.col("prior")) / (F.col("n") + PRIOR)).alias("score"))
+def classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(domain, tok) of the containers and of the text of the hosts' templates."""
+    tok = pages.where("domain <> ''").select("domain", "fetch_id", F.explode("toks").alias("t")).select("domain", "fetch_id", "t.*")
+    vector = tok.groupBy("domain", "tok", "kind").agg(
+        F.bit_xor(F.xxhash64("fetch_id", "n")).alias("sig"), F.count("*").alias("support"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("pos").alias("sum")
+    )
+    member = F.collect_list(F.struct("lo", "hi", "sum", "tok", "kind")).alias("m")  # no more than tokens stand on one page
+    cls = vector.where("support > 1").groupBy("domain", "sig", "support").agg(member)
+    by = lambda k: F.expr(f"array_sort(transform(m, x -> struct(x.{k} as k, x.tok, x.kind)))").alias(k)
+    same = "x.tok = hi[i].tok and x.tok = sum[i].tok and (i = 0 or lo[i - 1].k < x.k) and (i + 1 = size(lo) or x.k < lo[i + 1].k)"
+    kept = cls.select("domain", "support", by("lo"), by("hi"), by("sum")).select("domain", "support", F.expr(f"filter(lo, (x, i) -> {same})").alias("m"))
+    two = F.expr("aggregate(m, 0, (n, x) -> n + if(x.kind = 0, 2, 1))") > 1
+    valid = kept.where(two).select("domain", "support", F.explode("m").alias("x")).select("domain", "support", "x.tok", "x.kind")
+    valid = cut(valid)
+    size = pages.where("domain <> ''").groupBy("domain").agg(F.count("*").alias("pages"))
+    texts = valid.where((F.col("kind") == 1) & (F.col("support") >= TEMPLATE_PAGES)).join(size, "domain").where(F.col("support") >= TEMPLATE_SHARE * F.col("pages"))
+    return valid.where("kind = 0").select("domain", "tok"), texts.select("domain", "tok")
+
+
+def body_slots(pages: DataFrame, boxes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fetch_id, body): the slot that holds a page's body."""
+    slot = pages.select("fetch_id", "domain", F.explode("slots").alias("s")).select("fetch_id", "domain", "s.*")
+    own = cut(slot.groupBy("domain", "slot").agg(F.any_value("up").alias("up"), F.sum("words").alias("words"), F.count("*").alias("pages")))
+    line = pages.select("domain", F.explode("lines").alias("l")).where("size(l.up) > 0")
+    fixed = line.select("domain", F.element_at("l.up", -1).alias("slot"), F.col("l.tok").alias("tok"), F.col("l.words").alias("words"))
+    fixed = fixed.join(texts, ["domain", "tok"], "left_semi").groupBy("domain", "slot").agg(F.sum("words").alias("fixed"))
+    left = own.where("domain <> ''").join(fixed, ["domain", "slot"], "left").select("domain", "up", (F.col("words") - F.coalesce("fixed", F.lit(0))).alias("words"))
+    total = left.groupBy("domain").agg(F.sum("words").alias("total"))
+    through = left.select("domain", "words", F.posexplode("up").alias("depth", "tok")).join(boxes, ["domain", "tok"], "left_semi")
+    through = through.groupBy("domain", "tok").agg(F.max("depth").alias("depth"), F.sum("words").alias("words")).join(total, "domain")
+    main = through.where(F.col("words") >= MAIN * F.col("total")).groupBy("domain").agg(F.max_by("tok", F.struct("depth", "words", "tok")).alias("main"))
+    pool = own.groupBy("slot").agg((F.sum("words") / F.sum("pages")).alias("score"), F.sum("pages").alias("n")).where("n > 1 and slot <> 0").select("slot", "score")
+    of = slot.join(small(main, "24 + length(domain)"), "domain", "left").join(small(pool), "slot", "left")
+    return of.groupBy("fetch_id").agg(
+        F.coalesce(F.max(F.when(F.array_contains("up", F.col("main")), F.col("main"))), F.max_by("slot", F.when(F.col("score").isNotNull(), F.struct("score", "slot")))).alias("body")
     )
-    return s.join(score, ["grp", "slot"]).groupBy("fetch_id").agg(F.max_by("slot", F.struct("valid", "score", "slot")).alias("body"))
 
 
 def judged_lines(pages: DataFrame) -> DataFrame:
-    """(fetch_id, domain, no, words, mask, filler, furniture) of all
-    non-blank lines."""
-    grp = groups_of(pages)
-    boxes, texts = classes(pages, grp)
-    body = body_slots(pages, grp, boxes)
+    """(fetch_id, domain, no, words, mask, furniture) of all non-blank lines."""
+    boxes, texts = classes(pages)
+    texts = small(texts, "24 + length(domain)")
+    body = small(body_slots(pages, boxes, texts), "16")
     line = (
-        pages.select("fetch_id", "domain", F.explode("lines").alias("l"))
-        .select("fetch_id", "domain", "l.*")
-        .join(grp, "fetch_id")
+        pages.select("fetch_id", "domain", "lines")
         .join(body, "fetch_id", "left")
-        .join(texts.withColumn("template", F.lit(True)), ["grp", "tok"], "left")
+        .select("fetch_id", "domain", "body", F.explode("lines").alias("l"))
+        .select("fetch_id", "domain", "body", "l.*")
+        .join(texts.withColumn("template", F.lit(True)), ["domain", "tok"], "left")
     )
     line = cut(
         line.select(
-            "fetch_id", "domain", "no", "words", "mask", "shape", "filler",
+            "fetch_id", "domain", "no", "words", "mask", "shape",
             F.when((F.size("up") > 0) & F.col("body").isNotNull(), F.coalesce("template", F.lit(False)) | ~F.array_contains("up", F.col("body"))).alias("known"),
         )
     )
     seen = line.where("known is not null")
-    by_mask = seen.where("mask is not null").groupBy("mask").agg(F.count("*").alias("n"), F.avg(F.col("known").cast("int")).alias("p")).where(F.col("n") >= SEEN)
+    unknown = cut(line.where("known is null"))
+    masks = small(unknown.select("mask").distinct(), "8")
+    by_mask = seen.join(masks, "mask", "left_semi").groupBy("mask").agg(F.count("*").alias("n"), F.avg(F.col("known").cast("int")).alias("p")).where(F.col("n") >= SEEN)
     by_shape = seen.groupBy("shape").agg(F.count("*").alias("sn"), F.avg(F.col("known").cast("int")).alias("sp")).where(F.col("sn") >= SEEN)
-    rest = line.where("known is null").join(by_mask, "mask", "left").join(by_shape, "shape", "left")
+    rest = unknown.join(by_mask, "mask", "left").join(by_shape, "shape", "left")
     clear = F.when((F.col("n") >= CLEAR) & ((F.col("p") <= 0.1) | (F.col("p") >= 0.9)), F.col("p"))
     rest = rest.withColumn("furniture", F.coalesce(clear, F.col("sp"), F.col("p"), F.lit(0.0)) > 0.5)
-    cols = ["fetch_id", "domain", "no", "words", "mask", "filler"]
+    cols = ["fetch_id", "domain", "no", "words", "mask"]
     return seen.select(*cols, F.col("known").alias("furniture")).unionByName(rest.select(*cols, "furniture"))
 
 
@@ -325,7 +336,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
 
     page = parsed(pages, samples, spam_too=True)
     line = cut(judged_lines(page))
-    drop = residue.found(page, line).union(page.where("spam").select("fetch_id")).distinct()
+    drop = residue.found(page, line, pages).union(page.where("spam").select("fetch_id")).distinct()
     return line.where("furniture").select("fetch_id", F.col("no").cast("long").alias("line_no")).join(drop, "fetch_id", "left_anti").distinct()
 
 

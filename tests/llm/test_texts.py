@@ -172,22 +172,49 @@ def test_template_text_is_of_a_class(spark, samples, rows):
         p = page(i, rows, "h.example")
         add = ("<p>Alone among its pages</p>" if i < 9 else "") + ("<p>Always first</p><p>Always second</p>" if i > 1 else "")
         pages.append({**p, "html": p["html"].replace("<div id=content>", "<div id=content>" + add)})
-    page_ = template.parsed(table(spark, pages), samples)
-    _, texts = template.classes(page_, template.groups_of(page_))
+    _, texts = template.classes(template.parsed(table(spark, pages), samples))
     tok = {k: template._id(str(template._id("divicontent")), template.key_of(k)) for k in ("Alone among its pages", "Always first", "Always second")}
     got = {r["tok"] for r in texts.collect()}
     assert tok["Alone among its pages"] not in got and {tok["Always first"], tok["Always second"]} <= got
 
 
+def test_class_out_of_order_is_not_valid(spark, samples, rows):
+    pages = []
+    for i in range(4):
+        boxes = ["<div class='x'><p>a</p></div>", "<div class='y'><p>b</p></div>"]
+        p = page(i, rows, "h.example")
+        pages.append({**p, "html": p["html"].replace("<div id=content>", "".join(boxes[:: 1 if i % 2 else -1]) + "<div id=content>")})
+    boxes, _ = template.classes(template.parsed(table(spark, pages), samples))
+    assert template._id("divcx") not in {r["tok"] for r in boxes.collect()}
+
+
+def test_classes_decide_the_body(spark, samples, rows, monkeypatch):
+    """On these pages a notice is longer than the body: only the host's template tells them apart."""
+    notice = " ".join(t for _, t in rows[:4])
+    pages = [page(i, rows, "h.example", body=[rows[3 * i][1]]) for i in range(6)]
+    for p in pages[:3]:
+        p["html"] = p["html"].replace("<div class='foot'>", f"<section><p>{notice} {p['fetch_id']}</p></section><div class='foot'>")
+        p["text"] += f"\n{notice} {p['fetch_id']}"
+    pages += [page(20 + i, rows, "h.example") for i in range(6)]
+    t = table(spark, pages)
+    with_ = {tuple(r) for r in template.found(t, samples).collect()}
+    assert {(i, 5) for i in range(3)} <= with_ and not any(n == 3 for _, n in with_)
+    none = spark.createDataFrame([], "domain string, tok long")
+    monkeypatch.setattr(template, "classes", lambda _: (none, none))
+    assert {tuple(r) for r in template.found(t, samples).collect()} != with_
+
+
 def test_segments_of_broken_html():
     got = template.segments("<div><p>a <b>b</b> c<li>d</div></div><nav>x &amp; y<script>no()</script>")
     assert [(p, t) for p, t in got if t][:1] == [(("div.",), "a")] and (("div.",), "a b c") in got and (("nav.",), "x & y") in got
 
 
 def test_places():
-    got, untitled = residue.page_places("Hi {{ name }} and ${city} [INSERT PHONE HERE] %%DATE%% plain", "[object Object]")
-    assert {n for _, n in got} == {"name", "city", "phone", "date"} and untitled
+    got, unfilled = residue.page_places("Hi {{ name }} and ${city} [INSERT PHONE HERE] %%DATE%% plain", "[object Object]")
+    assert {n for n, _ in got} == {"name", "city", "insert", "phone", "here", "date"} and unfilled
     assert residue.page_places("no places, 5 < 6 & 7", None) == ([], False)
+    same = [residue.page_places(f"It shows how {{{{ {w} }}}} is replaced by {n}", None)[0][0][1] for w, n in (("roof", 1), ("mill", 2))]
+    assert same[0] == same[1]
 
 
 @pytest.mark.parametrize("slot", ["{{ title.phone }}", "{{ cart_total }}", "${customer}", "{name}", "{{ first-name }}", "{{ name | upper }}", "*|NAME|*", "{% block x %}", "@@x@@"])
@@ -198,20 +225,41 @@ def test_slot_is_judged_in_its_place(slot):
     assert not residue.page_places(f"Our course shows how {slot} is replaced.\nNote: write {slot} there", "How templates work")[1]
 
 
+def test_templates_are_aligned():
+    a, b = "Exception in thread city-57800: overflow at Zeclu.render", "Exception in thread hours-1: overflow at Bedu.render"
+    assert residue.line_mask(a) != residue.line_mask(b) and residue.line_mask(a) == residue.line_mask(a.replace("57800", "4"))
+    assert {h for h, _ in residue.left_out(a)} & {h for h, _ in residue.left_out(b)}
+    assert residue._hash(residue.template_of(residue.parts(a))[0]) == residue.line_mask(a)
+    assert residue.left_out("Warm roof") == [] and residue.line_mask("") == residue.line_mask(" ")
+
+
+def residue_of(spark, samples, pages):
+    t = table(spark, pages)
+    parsed = template.parsed(t, samples)
+    return {r["fetch_id"] for r in residue.found(parsed, template.judged_lines(parsed), t).collect()}
+
+
 def test_residue(spark, samples, rows):
-    names = ["{{ name }}", "${name}", "%%NAME%%", "[[name]]"]
+    latin = "viverra mollis augue pretium congue rutrem sodal dictus".split()
     pages = [page(i, rows, f"h{i}.example") for i in range(8)]
-    pages += [page(20 + i, rows, f"p{i}.example", body=[rows[i][1] + " " + n, rows[i + 9][1]]) for i, n in enumerate(names)]
-    pages.append(page(40, rows, "q.example", body=[rows[1][1] + " A course shows how {{ reporter }} is replaced.", rows[2][1]]))
+    pages += [page(20 + i, rows, "p.example", body=[rows[i][1] + " Dear {{ name }}, your order follows.", rows[i + 9][1]]) for i in range(4)]
+    pages += [page(40 + i, rows, f"q{i}.example", body=[rows[i][1] + f" A course shows how {{{{ {w} }}}} is replaced.", rows[2 + i][1]]) for i, w in enumerate(("reporter", "garden", "soup"))]
     pages += [page(50 + i, rows, f"e{i}.example", body=[f"Error {4000 + i}: page Xk{i} was not found"]) for i in range(4)]
-    pages.append(page(60, rows, "l.example", body=["Lorem ipsum dolor sit amet augue congue. " * 4]))
-    pages.append({**page(70, rows, "t.example"), "title": "Untitled document"})
-    t = table(spark, pages)
-    parsed = template.parsed(t, samples)
-    got = {r["fetch_id"] for r in residue.found(parsed, template.judged_lines(parsed)).collect()}
-    assert got == {20, 21, 22, 23, 50, 51, 52, 53, 60, 70}
-    empty = template.parsed(t.limit(0), samples)
-    assert residue.found(empty, template.judged_lines(empty)).count() == 0
+    pages += [page(60 + i, rows, f"l{i}.example", body=[" ".join(latin[i:] + latin[:i]).capitalize() + "."] * 4) for i in range(4)]
+    pages += [page(70 + i, rows, f"m{i}.example", body=[f"Exception in thread {w}-{i}: stack overflow"]) for i, w in enumerate(("city", "phone", "date", "price"))]
+    pages += [{**page(100 + i, rows, f"t{i}.example"), "title": "Untitled document"} for i in range(30)]
+    pages += [{**page(200 + i, rows, f"u{i}.example"), "title": " ".join(rows[3 * (200 + i) % len(rows)][1].split()[:3])} for i in range(60)]
+    got = residue_of(spark, samples, pages)
+    assert got == {20, 21, 22, 23, *range(50, 54), *range(60, 64), *range(70, 74), *range(100, 130)}
+    assert residue_of(spark, samples, []) == set()
+
+
+def test_copies_are_no_message(spark, samples, rows):
+    """The same long page on many domains is a copy; one whose values all change is a message."""
+    long = " ".join(t for lang, t in rows if lang == "en").split()[:60]
+    pages = [page(i, rows, f"c{i}.example", body=[" ".join(long)]) for i in range(6)]
+    pages += [page(20 + i, rows, f"d{i}.example", body=[" ".join(f"error {i * 7 + k} at Xq{chr(97 + i)}{k} in module" for k in range(12))]) for i in range(6)]
+    assert residue_of(spark, samples, pages) == set(range(20, 26))
 
 
 SPAM = [
