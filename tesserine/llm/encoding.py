@@ -33,7 +33,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Code pages UTF-8 is misread in, most usual first.
@@ -46,6 +46,7 @@ SWAPS = (
 )
 #: Nats by which a re-reading must beat the reading at hand, for a word.
 MARGIN = 6.0
+JOINED = 1.5
 STRONG = 14.0
 ROUNDS = 3
 LONG = 400
@@ -55,7 +56,8 @@ TOKEN = re.compile("[A-Za-z\u0080-\U0010ffff]+")
 _HIGH = re.compile("[^\x00-\x7f]+")
 _EDGE = "“”„«»‘’‚‹›–—…·•€£©®™°¿¡ "
 _MARKS = set("“”„«»‘’‚‹›–—…·•€£©®™°¿¡§ªº²³´`×¼½¾ ­﻿​→←−")
-_ALLOWED = set("ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœąćęłńśźżšžőű")
+#: Letters of Latin-1 and of Latin Extended-A.
+_ALLOWED = {c for c in map(chr, range(0xC0, 0x180)) if c.islower()}
 _ALLOWED |= {c.upper() for c in _ALLOWED if len(c.upper()) == 1} | _MARKS
 #: A question mark inside a word of small letters: what a converter puts where it has no character.
 _ASKED = re.compile(r"(?<![^\s“”„«»\"'(>])[^\W\d_]*[^\W\d_]\?[a-zß-öø-ÿа-яё][^\W\d_]*(?:\?[^\W\d_]+)*(?![\w=/&%?.]*[=/&%])")
@@ -97,9 +99,18 @@ _AUTOMATA = {p: _automaton(p) for p in PAGES}
 _LEADS = {p: frozenset(_CHAR[p][b] for b in range(0xC2, 0xF5)) for p in PAGES}
 
 
+def _script(c: str) -> str:
+    """Script of a letter by its Unicode name, '' for anything else."""
+    return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
+
+
 def _plausible(decoded: str, before: str, after: str) -> bool:
     """Whether a decoded span reads as text in its place."""
+    if len(decoded) == 1 and "Ā" <= decoded <= "ſ" and not (before.isalpha() or after.isalpha()):
+        return False  # a lone letter among signs is a drawing
     kinds = Counter("m" if c in _MARKS else "l" if c in _ALLOWED else "r" if c in _RUS else "x" for c in decoded)
+    if kinds["x"] and len(decoded) > 1 and len({_script(c) for c in decoded}) == 1 and _script(decoded[0]):
+        return _script(before) != _script(decoded[0]) or not before
     if kinds["x"]:
         # A span garbled twice decodes to the lead and rest bytes of the next round.
         return any(p.search(decoded) for p in _AUTOMATA.values()) and all(ord(c) < 0x2600 for c in decoded)
@@ -134,17 +145,6 @@ def decode_spans(token: str) -> tuple[str, bool]:
     return token, done
 
 
-def asked(field: str) -> bool:
-    """Whether question marks stand for letters; only one between letters is
-    looked at closer."""
-    i = field.find("?")
-    while i >= 0:
-        if field[i - 1 : i].isalpha() and field[i + 1 : i + 2].islower():
-            return bool(_ASKED.search(field))
-        i = field.find("?", i + 1)
-    return False
-
-
 class PairModel:
     """Letter-pair models of the languages, over lower-cased words."""
 
@@ -160,6 +160,7 @@ class PairModel:
         self.logs = {k: {p: math.log((n + 0.02) / (first[k][p[0]] + 1.2)) for p, n in c.items()} for k, c in counts.items()}
         self.first = dict(first)
         self.letters = {k: {x for p in c for x in p} for k, c in counts.items()}
+        self.alphabet = sorted(set().union(*self.letters.values()) - {"^", "$"})
 
     def score(self, word: str) -> float:
         """Log-likelihood under the language that reads the word best."""
@@ -176,10 +177,33 @@ class PairModel:
         return best
 
 
+def asked(field: str, model: PairModel) -> bool:
+    """Whether question marks stand for letters: marks inside words of small
+    letters, three of them, or two whose parts read better with some letter between
+    them than apart, or one that reads clearly better (``JOINED`` nats)."""
+    i = field.find("?")
+    while i >= 0:
+        if field[i - 1 : i].isalpha() and field[i + 1 : i + 2].islower():
+            gains = [_joined(w, model) for w in {m.group().lower() for m in _ASKED.finditer(field)}]
+            return len(gains) > 2 or sum(g > 0 for g in gains) > 1 or any(g > JOINED for g in gains)
+        i = field.find("?", i + 1)
+    return False
+
+
+def _joined(word: str, model: PairModel) -> float:
+    """Nats a word gains by some letter in place of its marks over its parts."""
+    if not model.logs:
+        return math.inf
+    parts = word.split("?")
+    return max(model.score(c.join(parts)) for c in model.alphabet) - sum(map(model.score, parts))
+
+
 def reread(word: str, model: PairModel) -> tuple[str, float] | None:
     """The word as another page reads its bytes, and the gain, if clearly likelier."""
     if len(word) < 2 or not model.logs or 2 * sum(map(str.isalpha, word)) < len(word):
         return None
+    if (word[1:].islower() or word.isupper()) and any(_script(c) == "CYRILLIC" and c not in _RUS for c in word) and all(_script(c) == "CYRILLIC" for c in word):
+        return None  # a word of a language the samples don't hold
     here = None
     best, found = 0.0, None
     for read_as, written in SWAPS:
@@ -240,7 +264,7 @@ class Analyser:
     def affected(self, field: str | None) -> bool:
         if not field:
             return False
-        if asked(field):
+        if asked(field, self.model):
             return True
         if field.isascii():
             return False
@@ -255,7 +279,7 @@ class Analyser:
 
     def restore(self, field: str) -> tuple[str, bool]:
         """(restored, lossless) of an affected field."""
-        lost = asked(field)
+        lost = asked(field, self.model)
 
         def one(m: re.Match) -> str:
             nonlocal lost
@@ -269,10 +293,12 @@ class Analyser:
         return TOKEN.sub(one, field), not lost
 
 
-def samples_of(samples: DataFrame, bound: int = 5000) -> list[tuple[str, str]]:
-    """The labelled samples, at most ``bound`` rows (the table is fixed)."""
-    rows = samples.where("text is not null and lang is not null").select("lang", "text").orderBy("lang", "text").limit(bound).collect()
-    return [(r[0], r[1]) for r in rows]
+def samples_of(samples: DataFrame, bound: int = 500) -> list[tuple[str, str]]:
+    """The labelled samples, at most ``bound`` rows of each language (the table is
+    fixed)."""
+    by = Window.partitionBy("lang").orderBy("text")
+    some = samples.where("text is not null and lang is not null").select("lang", "text", F.row_number().over(by).alias("r")).where(F.col("r") <= bound)
+    return sorted((r[0], r[1]) for r in some.collect())
 
 
 def found(pages: DataFrame, samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ numbers have none.  Transition weights are learned from sequences that join
 samples of one to three languages, so the chain learns how seldom a text
 switches.  Training maximises the conditional log-likelihood, its gradient by
 forward-backward, full batch; the samples are a fixed table, ``SAMPLE_BOUND``
-rows at most, and the weights are a bounded broadcast.  Labelling takes the
+rows of each language at most, and the weights are a bounded broadcast.  Labelling takes the
 marginals of forward-backward over whole texts: a word's label is the likeliest,
 a part's confidence the mean marginal of its label.
 
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import cut
 from .encoding import samples_of
 
-SAMPLE_BOUND = 5000
+SAMPLE_BOUND = 500
 BUCKETS = 1 << 16
 STEPS = 45
 RATE = 0.15
 L2 = 2e-4
 RUN = 5
 SENTENCE = 0.7
-BATCH = 192
+BATCH, BATCH_WORDS = 192, 100_000
 CACHE = 300_000
 MIN_BODY, MIN_PART, MIN_META = 40, 20, 12
 
@@ -89,8 +89,12 @@ class Crf:
         out: list[np.ndarray | None] = [None] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         k = len(self.langs)
-        for lo in range(0, len(order), BATCH):
-            some = [i for i in order[lo : lo + BATCH] if texts[i]]
+        while order:
+            # Shortest first: a batch ends where its padded words would exceed BATCH_WORDS.
+            n = 1
+            while n < min(len(order), BATCH) and (n + 1) * len(texts[order[n]]) <= BATCH_WORDS:
+                n += 1
+            some, order = [i for i in order[:n] if texts[i]], order[n:]
             if not some:
                 continue
             longest = len(texts[some[-1]])
@@ -378,7 +382,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)
-        an, prose = Analyser(rows), spam.ProseModel(rows)
+        an, prose = Analyser(rows), spam.model_of(tuple(rows))
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part, out = b.iloc[lo : lo + 1000], []

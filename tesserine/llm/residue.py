@@ -55,6 +55,9 @@ VARIES = 0.34
 #: Words and signs besides its slots that a template with a left-out word keeps.
 FIXED = 4
 UNRELATED, CHANCE = 0.9, 1e-3
+#: Words whose kind is kept per worker.
+KINDS = 300_000
+_kinds: dict[str, str] = {}
 OWN, ORPHAN_WORDS, ORPHAN_SHARE = 0.9, 5, 0.8
 
 _ANY = re.compile(r"[{\[$#%@_<&*]")
@@ -143,14 +146,20 @@ def _hash(tokens: list[str]) -> int:
 
 def line_mask(line: str) -> int:
     """Hash of a line's template."""
-    out, last = [], ""
+    out, get = [], _kinds.get
     for w in parts(line):
-        c = w[0]
-        k = "0" if c.isdigit() else "N" if c.isupper() else w
-        if not (k == "N" == last):
-            out.append(k)
-        last = k
-    return _hash(out)
+        k = get(w)
+        if k is None:
+            if len(_kinds) > KINDS:
+                _kinds.clear()
+            k = _kinds[w] = "0" if w[0].isdigit() else "N" if w[0].isupper() else w
+        out.append(k)
+    s = "\x1f".join(out)
+    while "N\x1fN\x1f" in s:
+        s = s.replace("N\x1fN\x1f", "N\x1f")
+    if s.endswith("N\x1fN"):
+        s = s[:-2]
+    return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
 def left_out(line: str) -> list[tuple[int, str]]:

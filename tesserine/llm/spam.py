@@ -7,15 +7,19 @@ ends and sentence marks for theirs.  An interpolated trigram model of such
 sequences is trained on prose (the fixed table of labelled language samples);
 function words are each language's ``FUNCTION_WORDS`` most widespread words there.
 A page's text is read in windows of ``WINDOW`` tokens; a token's surprise is the
-mean over the window around it.  Where the median token of a page has a surprise
-above ``HIGH`` the page isn't prose for the most part, so a sentence in front does
-not save it, nor a list inside an article condemn it; the like of a page of
-abnormally low surprise (below ``LOW``) that also repeats itself.
+mean over the window around it, and a page's that of its median token, so a
+sentence in front does not save a page, nor a list inside an article condemn it.
+What is abnormal is learnt from held-out prose: each half of the samples is scored
+by the model of the other, joined by threes, and a page whose surprise lies more
+than ``SPREAD`` standard deviations above their mean isn't prose, nor one as far
+below that also repeats itself.  The bound widens with the root of the length for
+pages shorter than the held-out ones.
 
 Garbled text is restored before it is scored, a text in capitals is read in
-small letters, and places for values count as words (those pages are problem 4).
+small letters, and places for values count as words; pages of which these are more
+than an eighth are problem 4's.
 
-Defined results: rows without key are left out; NULL, empty and short texts (< ``MIN_TOKENS`` tokens) are not
+Defined results: rows without key are left out; NULL, empty and texts shorter than a window (``WINDOW`` tokens) are not
 spam; texts whose letters are lost are not judged; extra columns are ignored; an
 empty table gives no rows; an empty sample table flags nothing.
 """
@@ -25,6 +29,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,9 +41,7 @@ from .encoding import Analyser, samples_of
 FUNCTION_WORDS = 20
 REACH = 24
 WINDOW = 24
-HIGH = 5.4
-LOW = 0.9
-MIN_TOKENS = 45
+SPREAD = 4.5
 LOST = 0.02
 CACHE = 400_000
 
@@ -65,6 +68,7 @@ class ProseModel:
         self.id = {n: i for i, n in enumerate(names)}
         self.n = len(names) + 1  # the last stands for the beginning
         self.kept: dict[str, int] = {}
+        self.bounds = (0.0, np.inf, 1.0)
         self.fit([self.sequence(t) + [self.id["\n"]] for _, t in samples])
 
     def fit(self, sequences: list[list[int]]) -> None:
@@ -128,27 +132,52 @@ class ProseModel:
         if len(_CAPITAL.findall(text)) > 0.35 * len(text) and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text)):
             text = text.lower()
         q = self.sequence(text)
-        if len(q) < MIN_TOKENS:
+        if len(q) < WINDOW:
             return 0.0, len(q), 0.0
         s = np.concatenate([[0.0], np.cumsum(self.surprise(q))])
         mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
         at = (np.arange(len(q)) - WINDOW // 2).clip(0, len(mean) - 1)
-        return float(np.median(mean[at])), len(q), sum(v in (2, 3) for v in q) / len(q)
+        kind = np.array(q)
+        return float(np.median(mean[at])), len(q), float(((kind == 2) | (kind == 3)).mean())
+
+
+@lru_cache(maxsize=2)
+def model_of(samples: tuple[tuple[str, str], ...]) -> ProseModel:
+    """The model of all samples with the bounds of held-out prose: (mean,
+    standard deviation, tokens)."""
+    seen = []
+    for k in (0, 1):
+        half = ProseModel(list(samples[k::2]))
+        by: dict[str, list[str]] = defaultdict(list)
+        for lang, text in samples[1 - k :: 2]:
+            by[lang].append(text)
+        for texts in by.values():
+            seen += [half.page("\n".join(texts[i : i + 3]))[:2] for i in range(0, len(texts), 3)]
+    seen = [(s, n) for s, n in seen if n >= WINDOW]
+    model = ProseModel(list(samples))
+    if len(seen) > 2:
+        s = np.array(seen)
+        model.bounds = float(s[:, 0].mean()), float(s[:, 0].std()), float(s[:, 1].mean())
+    return model
 
 
 def judge(text: str | None, prose: ProseModel, an: Analyser) -> tuple[bool, float] | None:
     """(spam, median surprise) of a text that can be judged."""
-    if not text or len(prose.keys) == 0:
+    garbled = an.affected(text)
+    return judge_right(an.restore(text)[0] if garbled else text, prose, garbled)
+
+
+def judge_right(text: str | None, prose: ProseModel, garbled: bool) -> tuple[bool, float] | None:
+    """The same for a text whose encoding has been repaired."""
+    if not text or len(prose.keys) == 0 or garbled and text.count("�") > LOST * len(text):
         return None
-    if an.affected(text):
-        text = an.restore(text)[0]
-        if text.count("�") > LOST * len(text):
-            return None
     text, places = PLACE.subn(" x ", text)
     m, n, repeats = prose.page(text)
-    if n < MIN_TOKENS or places * 8 > n:
+    if n < WINDOW or places * 8 > n:
         return None
-    return m > HIGH or (m < LOW and repeats > 0.5), m
+    mean, sd, tokens = prose.bounds
+    wide = SPREAD * sd * max(1.0, (tokens / n) ** 0.5)
+    return m > mean + wide or (m < mean - wide and repeats > 0.5), m
 
 
 def scored(pages: DataFrame, samples: DataFrame) -> DataFrame:
@@ -156,7 +185,7 @@ def scored(pages: DataFrame, samples: DataFrame) -> DataFrame:
     rows = samples_of(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prose, an = ProseModel(rows), Analyser(rows)
+        prose, an = model_of(tuple(rows)), Analyser(rows)
         for b in batches:
             out = []
             for i, d, t in zip(b["fetch_id"], b["domain"], b["text"]):

@@ -150,12 +150,8 @@ def line_form(line: str) -> tuple[int, str, int, str, list[str]]:
     return got
 
 
-def analyse(text: str, page: str | None, an: Analyser, function: frozenset[str] | set[str] = frozenset()) -> tuple[list, list, list, list, set[str], bool, bool]:
-    """(lines, slots, tokens, orphan lines, words, whether text and html are
-    garbled); see SCHEMA."""
-    garbled = an.affected(text), an.affected(page)
-    if garbled[0]:
-        text = an.restore(text)[0]
+def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = frozenset()) -> tuple[list, list, list, list, set[str]]:
+    """(lines, slots, tokens, orphan lines, words) of a page; see SCHEMA."""
     lost = "\ufffd" in text or "?" in text
     forms, orphans, said, keys = [], [], set(), {}
     for i, x in enumerate(text.split("\n")):
@@ -171,8 +167,6 @@ def analyse(text: str, page: str | None, an: Analyser, function: frozenset[str]
     tokens: dict[int, list] = {}
     paths: dict[tuple[str, ...], tuple[int, ...]] = {}
     if page:
-        if garbled[1]:
-            page = an.restore(page)[0]
         for pos, (path, run) in enumerate(segments(page)):
             up = paths.get(path)
             if up is None:
@@ -207,7 +201,7 @@ def analyse(text: str, page: str | None, an: Analyser, function: frozenset[str]
         lines.append((i, list(got[0]) if got else [], got[1] if got else 0, n, mask, trio))
         if got:
             slots[got[0]] = slots.get(got[0], 0) + n
-    return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said, *garbled
+    return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said
 
 
 _I64, _I32, _STR = pa.int64(), pa.int32(), pa.string()
@@ -245,14 +239,16 @@ def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False) -> Data
     rows = samples_of(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        an, prose = Analyser(rows), spam.ProseModel(rows)
+        an, prose = Analyser(rows), spam.model_of(tuple(rows))
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 out = []
                 for i, d, t, h, title in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns)):
                     t = t or ""
-                    lines, slots, toks, orphans, said, *garbled = analyse(t, h, an, prose.function)
-                    judged = spam.judge(t, prose, an) if spam_too else None
+                    garbled = an.affected(t), an.affected(h)
+                    right = an.restore(t)[0] if garbled[0] else t
+                    lines, slots, toks, orphans, said = analyse(right, an.restore(h)[0] if garbled[1] else h, prose.function)
+                    judged = spam.judge_right(right, prose, garbled[0]) if spam_too else None
                     out.append((i, d, lines, slots, toks, orphans, *page_places(t, title), *title_of(title, d, said), *garbled, bool(judged and judged[0])))
                 yield pa.RecordBatch.from_arrays([_column(list(c), f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
@@ -268,7 +264,7 @@ def classes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.bit_xor(F.xxhash64("fetch_id", "n")).alias("sig"), F.count("*").alias("support"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.sum("pos").alias("sum")
     )
     member = F.collect_list(F.struct("lo", "hi", "sum", "tok", "kind")).alias("m")  # no more than tokens stand on one page
-    cls = vector.where("support > 1").groupBy("domain", "sig", "support").agg(member)
+    cls = vector.where((F.col("support") > 1) & ((F.col("kind") == 0) | (F.col("support") >= TEMPLATE_PAGES))).groupBy("domain", "sig", "support").agg(member)
     by = lambda k: F.expr(f"array_sort(transform(m, x -> struct(x.{k} as k, x.tok, x.kind)))").alias(k)
     same = "x.tok = hi[i].tok and x.tok = sum[i].tok and (i = 0 or lo[i - 1].k < x.k) and (i + 1 = size(lo) or x.k < lo[i + 1].k)"
     kept = cls.select("domain", "support", by("lo"), by("hi"), by("sum")).select("domain", "support", F.expr(f"filter(lo, (x, i) -> {same})").alias("m"))

@@ -37,13 +37,20 @@ WRONG = ("cp1252", "latin_1", "cp1251", "cp437", "mac_roman", "cp850")
 
 
 @pytest.mark.parametrize("page", WRONG)
-@pytest.mark.parametrize("good", ["La montaña describe la habitación", "Прогулка через каждый музей", "“Größere” – Mühle", "Ten żagiel łączy wieś", "prix 12 €"])
+@pytest.mark.parametrize("good", ["La montaña describe la habitación", "Прогулка через каждый музей", "“Größere” – Mühle", "Ten żagiel łączy wieś", "prix 12 €", "Καλημέρα κόσμε"])
 def test_utf8_misread_is_restored(an, page, good):
     raw = good.encode("utf-8")
     bad = "".join(encoding._CHAR[page][b] if b > 127 else chr(b) for b in raw)
     assert an.affected(bad) and an.restore(bad) == (good, True)
 
 
+@pytest.mark.parametrize("page", ("cp1252", "latin_1", "cp1251"))
+def test_letters_of_no_sampled_language(an, page):
+    good = "Příliš žluťoučký kůň"
+    bad = "".join(encoding._CHAR[page][b] if b > 127 else chr(b) for b in good.encode("utf-8"))
+    assert an.affected(bad) and an.restore(bad) == (good, True)
+
+
 def test_twice_misread(an):
     bad = "château près".encode().decode("latin_1").encode().decode("latin_1")
     assert an.affected(bad) and an.restore(bad)[0] == "château près"
@@ -64,7 +71,7 @@ def test_lost_characters(an):
 
 @pytest.mark.parametrize(
     "good",
-    ["", None, "plain ascii? yes", "Ærø Ðal Þór", "ÂNCORA, SÃO", "naïve café – “so” … 5 € · 3 µm ± 2", "СССР ТРЁХ ЕЩЁ", "Dvořák, Škoda, Győr", "¿Qué? ¡Sí!", "http://a.example/?q=x&b?c", "┌──┐ │ x │ └──┘", "« Été » à"],
+    ["", None, "plain ascii? yes", "Ærø Ðal Þór", "ÂNCORA, SÃO", "naïve café – “so” … 5 € · 3 µm ± 2", "СССР ТРЁХ ЕЩЁ", "Dvořák, Škoda, Győr", "¿Qué? ¡Sí!", "http://a.example/?q=x&b?c", "Київ є столицею України, її історія", "What is this?yes it is", "Really?no way", "┌──┐ │ x │ └──┘", "« Été » à"],
 )
 def test_right_text_is_left_alone(an, good):
     assert not an.affected(good)
@@ -273,12 +280,12 @@ SPAM = [
 
 @pytest.mark.parametrize("text", SPAM)
 def test_spam_is_found(an, rows, text):
-    prose = spam.ProseModel(rows)
+    prose = spam.model_of(tuple(rows))
     assert spam.judge(text, prose, an)[0] and spam.judge(rows[0][1] + "\n" + text, prose, an)[0]
 
 
 def test_prose_is_not_spam(an, rows):
-    prose = spam.ProseModel(rows)
+    prose = spam.model_of(tuple(rows))
     for lang in sorted({x for x, _ in rows}):
         t = " ".join(x for y, x in rows if y == lang)
         assert not spam.judge(t, prose, an)[0] and not spam.judge(t.upper(), prose, an)[0]
@@ -286,6 +293,24 @@ def test_prose_is_not_spam(an, rows):
     assert spam.judge(None, prose, an) is None and spam.judge("few words", prose, an) is None
 
 
+def test_bounds_come_from_held_out_prose(rows):
+    mean, sd, tokens = spam.model_of(tuple(rows)).bounds
+    assert 0 < sd < mean and tokens > spam.WINDOW
+    assert spam.model_of(()).bounds == (0.0, np.inf, 1.0)
+    prose = spam.model_of(tuple(rows))
+    low = spam.ProseModel(rows)
+    low.bounds = (20.0, 0.5, 100.0)
+    assert spam.judge_right(SPAM[0], low, False)[0] and not spam.judge_right(" ".join(t for _, t in rows[:5]), prose, False)[0]
+
+
+def test_batches_are_bounded_by_words(crf, rows):
+    long = " ".join(t for _, t in rows) * 20
+    words_ = [language.read_words(t)[0] for t in (long, rows[0][1], "", rows[1][1])]
+    got = crf.marginals(words_)
+    assert [len(g) for g in got] == [len(w) for w in words_]
+    assert np.allclose(got[1], crf.marginals([words_[1]])[0], atol=1e-4)
+
+
 def test_spam_table(spark, samples):
     t = table(spark, [{"fetch_id": 1, "text": SPAM[0], "domain": "A"}, {"fetch_id": 1, "text": SPAM[0], "domain": "A"}, {"fetch_id": None, "text": SPAM[0]}, {"fetch_id": 2}, {"fetch_id": 3, "text": "x" * 100_000}])
     assert [r[0] for r in spam.found(t, samples).collect()] == [1]
