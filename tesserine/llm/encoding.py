@@ -53,6 +53,8 @@ LONG = 400
 CACHE = 200_000
 
 TOKEN = re.compile("[A-Za-z\u0080-\U0010ffff]+")
+#: A token that isn't all ASCII.
+_ODD = re.compile("(?<![A-Za-z\u0080-\U0010ffff])[A-Za-z]*+[\u0080-\U0010ffff][A-Za-z\u0080-\U0010ffff]*+")
 _HIGH = re.compile("[^\x00-\x7f]+")
 _EDGE = "“”„«»‘’‚‹›–—…·•€£©®™°¿¡ "
 _MARKS = set("“”„«»‘’‚‹›–—…·•€£©®™°¿¡§ªº²³´`×¼½¾ ­﻿​→←−")
@@ -160,6 +162,7 @@ class PairModel:
         self.logs = {k: {p: math.log((n + 0.02) / (first[k][p[0]] + 1.2)) for p, n in c.items()} for k, c in counts.items()}
         self.first = dict(first)
         self.letters = {k: {x for p in c for x in p} for k, c in counts.items()}
+        self.joined: dict[str, float] = {}
         self.alphabet = sorted(set().union(*self.letters.values()) - {"^", "$"})
 
     def score(self, word: str) -> float:
@@ -184,8 +187,11 @@ def asked(field: str, model: PairModel) -> bool:
     i = field.find("?")
     while i >= 0:
         if field[i - 1 : i].isalpha() and field[i + 1 : i + 2].islower():
-            gains = [_joined(w, model) for w in {m.group().lower() for m in _ASKED.finditer(field)}]
-            return len(gains) > 2 or sum(g > 0 for g in gains) > 1 or any(g > JOINED for g in gains)
+            marked = {m.group().lower() for m in _ASKED.finditer(field)}
+            if len(marked) > 2:
+                return True
+            gains = [_joined(w, model) for w in marked]
+            return sum(g > 0 for g in gains) > 1 or any(g > JOINED for g in gains)
         i = field.find("?", i + 1)
     return False
 
@@ -194,8 +200,13 @@ def _joined(word: str, model: PairModel) -> float:
     """Nats a word gains by some letter in place of its marks over its parts."""
     if not model.logs:
         return math.inf
-    parts = word.split("?")
-    return max(model.score(c.join(parts)) for c in model.alphabet) - sum(map(model.score, parts))
+    got = model.joined.get(word)
+    if got is None:
+        parts = word.split("?")
+        if len(model.joined) > CACHE:
+            model.joined.clear()
+        got = model.joined[word] = max(model.score(c.join(parts)) for c in model.alphabet) - sum(map(model.score, parts))
+    return got
 
 
 def reread(word: str, model: PairModel) -> tuple[str, float] | None:
@@ -269,12 +280,11 @@ class Analyser:
         if field.isascii():
             return False
         weak = 0
-        for t in set(TOKEN.findall(field)):
-            if not t.isascii():
-                garbled, _, _, sure = self.token(t)
-                if sure:
-                    return True
-                weak += garbled
+        for t in set(_ODD.findall(field)):
+            garbled, _, _, sure = self.token(t)
+            if sure:
+                return True
+            weak += garbled
         return weak > 1
 
     def restore(self, field: str) -> tuple[str, bool]:

@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, small
+from .spam import TOKEN
 
 DOMAINS = 3
 SHARE = 0.3
@@ -60,6 +61,8 @@ KINDS = 300_000
 _kinds: dict[str, str] = {}
 OWN, ORPHAN_WORDS, ORPHAN_SHARE = 0.9, 5, 0.8
 
+#: Signs that part words where all words of the collection are counted.
+SIGNS = "\n\t\u00a0.,;:!?…“”„«»\"'’()[]{}<>|/·•–—-"
 _ANY = re.compile(r"[{\[$#%@_<&*]")
 _NAME = r"[^\W\d_][\w.:|-]*(?: ?[\w.:|-]+){0,6}"
 #: A placeholder of any name: brackets of template languages, doubled signs, spelt-out requests.
@@ -70,7 +73,6 @@ _PLACE = (
 _INLINE = re.compile(_PLACE)
 _TITLE_SLOT = re.compile(rf"(?:^|\s[|·–—-]\s)\s*{_PLACE}\s*(?:$|\s[|·–—-]\s)|^\s*(?:\[[^\[\]]+\]|\{{[^{{}}]+\}}|<[^<>]+>)\s*$")
 _LINE_SLOT = re.compile(rf"(?m)^[ \t]*[^\W\d_][^\n:{{}}<>\[\]]{{0,40}}:[ \t]+{_PLACE}(?:[ \t]+{_PLACE})*[ \t]*$")
-_PART = re.compile(r"\d[\d.,]*|[^\W\d_]+|[^\w\s]|_")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…][»”\"]?\s*$")
 
@@ -116,12 +118,12 @@ def orphan(line: str, words: list[str], function: set[str]) -> bool:
     return len(words) >= ORPHAN_WORDS and function.isdisjoint(words) and bool(_END.search(line))
 
 
-def parts(line: str) -> list[str]:
+def parts(line: str, tokens: list[str] | None = None) -> list[str]:
     """Words, numbers and signs; a line in capitals counts in small letters."""
     s = line.strip()
-    if len(s) > 12 and s[-2:-1].isupper() + s[1:2].isupper() and 2 * sum(map(str.isupper, s)) > sum(map(str.isalpha, s)):
-        s = s.lower()
-    return _PART.findall(s)
+    if len(s) > 12 and s[1].isupper() and s[2].isupper() and 2 * sum(map(str.isupper, s)) > sum(map(str.isalpha, s)):
+        return TOKEN.findall(s.lower())
+    return TOKEN.findall(s) if tokens is None else tokens
 
 
 def template_of(tokens: list[str]) -> tuple[list[str], list[str]]:
@@ -144,10 +146,10 @@ def _hash(tokens: list[str]) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(tokens)) - (1 << 63)
 
 
-def line_mask(line: str) -> int:
+def line_mask(line: str, tokens: list[str] | None = None) -> int:
     """Hash of a line's template."""
     out, get = [], _kinds.get
-    for w in parts(line):
+    for w in parts(line, tokens):
         k = get(w)
         if k is None:
             if len(_kinds) > KINDS:
@@ -196,7 +198,8 @@ def filler(pages: DataFrame, source: DataFrame) -> DataFrame:
     word = line.select("fetch_id", "domain", "no", F.explode("words").alias("word"))
     own = word.groupBy("word").agg(F.count("*").alias("own"), F.approx_count_distinct("domain").alias("domains")).where(F.col("domains") >= DOMAINS)
     own = small(own.select("word", "own"), "32 + length(word)")
-    every = source.where("text <> ''").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word"))
+    plain = F.translate(F.lower("text"), SIGNS, " " * len(SIGNS))
+    every = source.where("text <> ''").select(F.explode(F.split(plain, " ")).alias("word"))
     total = every.join(own.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
     vocabulary = own.join(total, "word").where(F.col("own") >= OWN * F.col("total")).select("word")
     hits = word.join(vocabulary.withColumn("known", F.lit(1)), "word", "left").groupBy("fetch_id", "no").agg(F.count("known").alias("hits"), F.count("*").alias("n"))

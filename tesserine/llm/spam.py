@@ -13,7 +13,7 @@ What is abnormal is learnt from held-out prose: each half of the samples is scor
 by the model of the other, joined by threes, and a page whose surprise lies more
 than ``SPREAD`` standard deviations above their mean isn't prose, nor one as far
 below that also repeats itself.  The bound widens with the root of the length for
-pages shorter than the held-out ones.
+pages less than half as long as the held-out ones.
 
 Garbled text is restored before it is scored, a text in capitals is read in
 small letters, and places for values count as words; pages of which these are more
@@ -41,7 +41,7 @@ from .encoding import Analyser, samples_of
 FUNCTION_WORDS = 20
 REACH = 24
 WINDOW = 24
-SPREAD = 4.5
+SPREAD = 5.4
 LOST = 0.02
 CACHE = 400_000
 
@@ -68,8 +68,9 @@ class ProseModel:
         self.id = {n: i for i, n in enumerate(names)}
         self.n = len(names) + 1  # the last stands for the beginning
         self.kept: dict[str, int] = {}
+        self.word: dict[str, int] = {}
         self.bounds = (0.0, np.inf, 1.0)
-        self.fit([self.sequence(t) + [self.id["\n"]] for _, t in samples])
+        self.fit([[*self.sequence(t).tolist(), self.id["\n"]] for _, t in samples])
 
     def fit(self, sequences: list[list[int]]) -> None:
         n, start = self.n, self.n - 1
@@ -102,43 +103,50 @@ class ProseModel:
             name = t if t in _SENTENCE else "|" if t in _LISTING else "#"
         return self.id[name]
 
-    def sequence(self, text: str) -> list[int]:
+    def sequence(self, text: str, tokens: list[str] | None = None) -> np.ndarray:
+        """Classes of the tokens; content words are kept as negative numbers of
+        their word and case, so that their repeats are found at once."""
         if len(self.kept) > CACHE:
             self.kept.clear()
-        out, last, kept = [], {}, self.kept
-        for i, t in enumerate(TOKEN.findall(text)):
-            v = kept.get(t)
-            if v is None:
-                v = kept[t] = self._class(t)
-            if v < 2:
-                w = t.lower()
-                j, k = last.get(w, (-REACH - 1, -REACH - 1))
-                last[w] = (i, j)
-                v = 3 if i - k <= REACH else 2 if i - j <= REACH else v
-            out.append(v)
-        return out
-
-    def surprise(self, q: list[int]) -> np.ndarray:
+            self.word.clear()
+        tokens, get = TOKEN.findall(text) if tokens is None else tokens, self.kept.get
+        out = [get(t) for t in tokens]
+        if None in out:
+            for i, v in enumerate(out):
+                if v is None:
+                    v = self._class(t := tokens[i])
+                    out[i] = self.kept[t] = -1 - (2 * self.word.setdefault(t.lower(), len(self.word)) + v) if v < 2 else v
+        q = np.array(out, np.int64)
+        at = np.flatnonzero(q < 0)
+        code = -1 - q[at]
+        q[at] = code & 1
+        order = np.argsort(code >> 1, kind="stable")
+        word, at = (code >> 1)[order], at[order]
+        for back, name in ((1, 2), (2, 3)):
+            near = (word[back:] == word[:-back]) & (at[back:] - at[:-back] <= REACH)
+            q[at[back:][near]] = name
+        return q
+
+    def surprise(self, q: np.ndarray) -> np.ndarray:
         n, start = self.n, self.n - 1
-        x = np.array([start, start, *q], np.int64)
+        x = np.concatenate([[start, start], q])
         a, b, c = x[:-2], x[1:-1], x[2:]
         key = (a * n + b) * n + c
         at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
         seen = np.where(self.keys[at] == key, self.counts[at], 0.0)
         return -np.log((seen + 2 * self.two[b, c]) / (self.context[a * n + b] + 2))
 
-    def page(self, text: str) -> tuple[float, int, float]:
+    def page(self, text: str, tokens: list[str] | None = None) -> tuple[float, int, float]:
         """(median surprise of the page's windows, tokens, share of repeats)."""
         if len(_CAPITAL.findall(text)) > 0.35 * len(text) and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text)):
-            text = text.lower()
-        q = self.sequence(text)
+            text, tokens = text.lower(), None
+        q = self.sequence(text, tokens)
         if len(q) < WINDOW:
             return 0.0, len(q), 0.0
         s = np.concatenate([[0.0], np.cumsum(self.surprise(q))])
         mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
         at = (np.arange(len(q)) - WINDOW // 2).clip(0, len(mean) - 1)
-        kind = np.array(q)
-        return float(np.median(mean[at])), len(q), float(((kind == 2) | (kind == 3)).mean())
+        return float(np.median(mean[at])), len(q), float(((q == 2) | (q == 3)).mean())
 
 
 @lru_cache(maxsize=2)
@@ -167,16 +175,17 @@ def judge(text: str | None, prose: ProseModel, an: Analyser) -> tuple[bool, floa
     return judge_right(an.restore(text)[0] if garbled else text, prose, garbled)
 
 
-def judge_right(text: str | None, prose: ProseModel, garbled: bool) -> tuple[bool, float] | None:
-    """The same for a text whose encoding has been repaired."""
+def judge_right(text: str | None, prose: ProseModel, garbled: bool, tokens: list[str] | None = None) -> tuple[bool, float] | None:
+    """The same for a text whose encoding has been repaired and, it may be, whose
+    tokens are at hand."""
     if not text or len(prose.keys) == 0 or garbled and text.count("�") > LOST * len(text):
         return None
     text, places = PLACE.subn(" x ", text)
-    m, n, repeats = prose.page(text)
+    m, n, repeats = prose.page(text, None if places else tokens)
     if n < WINDOW or places * 8 > n:
         return None
     mean, sd, tokens = prose.bounds
-    wide = SPREAD * sd * max(1.0, (tokens / n) ** 0.5)
+    wide = SPREAD * sd * max(1.0, (tokens / 2 / n) ** 0.5)
     return m > mean + wide or (m < mean - wide and repeats > 0.5), m
 
 

@@ -50,12 +50,13 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from .common import WORD, cut, small
 from .encoding import Analyser, samples_of
 from .residue import line_mask, orphan, page_places, title_of
+from .spam import TOKEN
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 6, 0.6
 MAIN = 0.5
 SEEN, CLEAR = 3, 8
 FORM_CACHE = 100_000
-_forms: dict[str, tuple[int, str, int, str, list[str]]] = {}
+_forms: dict[str, tuple[int, str, int, str, list[str], list[str]]] = {}
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -135,14 +136,15 @@ def shape(line: str, n: int) -> str:
     return size + ("." if s[-1:] in ".!?”»\"…" else "") + ("-" if s[:1] in "-•*" else "") + ("|" if n < 21 and _PARTS.search(s[1:-1]) else "")
 
 
-def line_form(line: str) -> tuple[int, str, int, str, list[str]]:
-    """(words, key, mask, shape, the words) of a line; those of short lines, which
-    recur, are kept per worker."""
+def line_form(line: str) -> tuple[int, str, int, str, list[str], list[str]]:
+    """(words, key, mask, shape, the words, the tokens) of a line; those of short
+    lines, which recur, are kept per worker."""
     got = _forms.get(line)
     if got is None:
         ws = WORD.findall(line.lower())
         n = len(ws)
-        got = n, "".join(ws), line_mask(line), shape(line, n), ws
+        tokens = TOKEN.findall(line)
+        got = n, "".join(ws), line_mask(line, tokens), shape(line, n), ws, tokens
         if n < 9:
             if len(_forms) > FORM_CACHE:
                 _forms.clear()
@@ -150,13 +152,17 @@ def line_form(line: str) -> tuple[int, str, int, str, list[str]]:
     return got
 
 
-def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = frozenset()) -> tuple[list, list, list, list, set[str]]:
-    """(lines, slots, tokens, orphan lines, words) of a page; see SCHEMA."""
+def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = frozenset()) -> tuple[list, list, list, list, set[str], list[str]]:
+    """(lines, slots, tokens, orphan lines, words, tokens of the text) of a page;
+    see SCHEMA."""
     lost = "\ufffd" in text or "?" in text
-    forms, orphans, said, keys = [], [], set(), {}
+    forms, orphans, said, keys, read = [], [], set(), {}, []
     for i, x in enumerate(text.split("\n")):
+        if i:
+            read.append("\n")
         if x.strip():
-            n, k, mask, form, ws = line_form(x)
+            n, k, mask, form, ws, part = line_form(x)
+            read += part
             forms.append((i, x, n, k, mask, form))
             keys[x] = k
             said.update(ws)
@@ -201,7 +207,7 @@ def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = f
         lines.append((i, list(got[0]) if got else [], got[1] if got else 0, n, mask, trio))
         if got:
             slots[got[0]] = slots.get(got[0], 0) + n
-    return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said
+    return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said, read
 
 
 _I64, _I32, _STR = pa.int64(), pa.int32(), pa.string()
@@ -247,8 +253,8 @@ def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False) -> Data
                     t = t or ""
                     garbled = an.affected(t), an.affected(h)
                     right = an.restore(t)[0] if garbled[0] else t
-                    lines, slots, toks, orphans, said = analyse(right, an.restore(h)[0] if garbled[1] else h, prose.function)
-                    judged = spam.judge_right(right, prose, garbled[0]) if spam_too else None
+                    lines, slots, toks, orphans, said, read = analyse(right, an.restore(h)[0] if garbled[1] else h, prose.function)
+                    judged = spam.judge_right(right, prose, garbled[0], read) if spam_too else None
                     out.append((i, d, lines, slots, toks, orphans, *page_places(t, title), *title_of(title, d, said), *garbled, bool(judged and judged[0])))
                 yield pa.RecordBatch.from_arrays([_column(list(c), f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
 
