@@ -61,8 +61,6 @@ KINDS = 300_000
 _kinds: dict[str, str] = {}
 OWN, ORPHAN_WORDS, ORPHAN_SHARE = 0.9, 5, 0.8
 
-#: Signs that part words where all words of the collection are counted.
-SIGNS = "\n\t\u00a0.,;:!?…“”„«»\"'’()[]{}<>|/·•–—-"
 _ANY = re.compile(r"[{\[$#%@_<&*]")
 _NAME = r"[^\W\d_][\w.:|-]*(?: ?[\w.:|-]+){0,6}"
 #: A placeholder of any name: brackets of template languages, doubled signs, spelt-out requests.
@@ -198,8 +196,7 @@ def filler(pages: DataFrame, source: DataFrame) -> DataFrame:
     word = line.select("fetch_id", "domain", "no", F.explode("words").alias("word"))
     own = word.groupBy("word").agg(F.count("*").alias("own"), F.approx_count_distinct("domain").alias("domains")).where(F.col("domains") >= DOMAINS)
     own = small(own.select("word", "own"), "32 + length(word)")
-    plain = F.translate(F.lower("text"), SIGNS, " " * len(SIGNS))
-    every = source.where("text <> ''").select(F.explode(F.split(plain, " ")).alias("word"))
+    every = source.where("text <> ''").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))  # words beside a sign aren't counted here
     total = every.join(own.select("word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
     vocabulary = own.join(total, "word").where(F.col("own") >= OWN * F.col("total")).select("word")
     hits = word.join(vocabulary.withColumn("known", F.lit(1)), "word", "left").groupBy("fetch_id", "no").agg(F.count("known").alias("hits"), F.count("*").alias("n"))

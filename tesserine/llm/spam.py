@@ -12,7 +12,7 @@ sentence in front does not save a page, nor a list inside an article condemn it.
 What is abnormal is learnt from held-out prose: each half of the samples is scored
 by the model of the other, joined by threes, and a page whose surprise lies more
 than ``SPREAD`` standard deviations above their mean isn't prose, nor one as far
-below that also repeats itself.  The bound widens with the root of the length for
+below that also repeats itself.  The bound widens as the length shrinks for
 pages less than half as long as the held-out ones.
 
 Garbled text is restored before it is scored, a text in capitals is read in
@@ -185,7 +185,7 @@ def judge_right(text: str | None, prose: ProseModel, garbled: bool, tokens: list
     if n < WINDOW or places * 8 > n:
         return None
     mean, sd, tokens = prose.bounds
-    wide = SPREAD * sd * max(1.0, (tokens / 2 / n) ** 0.5)
+    wide = SPREAD * sd * max(1.0, tokens / 2 / n)
     return m > mean + wide or (m < mean - wide and repeats > 0.5), m
 
 

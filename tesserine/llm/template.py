@@ -104,7 +104,8 @@ def segments(page: str) -> list[tuple[tuple[str, ...], str]]:
         if m.start() > at:
             run(page[at : m.start()])
         at = m.end()
-        close, tag, rest = m.group(1), m.group(2).lower(), m.group(3)
+        close, tag, rest = m.groups()
+        tag = tag.lower()
         named = _NAMED.search(rest) if rest else None
         container = tag in _CONTAINERS or tag == "span" and (named is not None or close and any(t == "span" for t, _ in stack))
         if container:
