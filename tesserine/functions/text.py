@@ -53,18 +53,16 @@ def html_title(html: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(raw, f"^{WS}+", ""), f"{WS}+$", ""))
 
 
+def description_patterns(attribute: str, name: str) -> list[str]:
+    """Patterns of a meta tag's content, its attributes in either order and in
+    either kind of quotation marks."""
+    named = f"{attribute}\\s*=\\s*[\"']{name}[\"']"
+    return [f"(?is)<meta\\s{x}>" for q in "\"'" for x in (f"[^>]*{named}[^>]*\\scontent\\s*=\\s*{q}([^{q}]*){q}[^>]*", f"(?:[^>]*\\s)?content\\s*=\\s*{q}([^{q}]*){q}[^>]*{named}[^>]*")]
+
+
+DESCRIPTIONS = (*description_patterns("name", "description"), *description_patterns("property", "og:description"))
+
+
 def html_description(html: Column) -> Column:
     """Content of the description tag, else of its social twin."""
-    d = F.regexp_extract(html, '(?i)<meta name="description" content="([^"]*)"', 1)
-    og = F.regexp_extract(html, '(?i)<meta property="og:description" content="([^"]*)"', 1)
-    return F.coalesce(F.nullif(d, F.lit("")), F.nullif(og, F.lit("")))
-
-
-def visible(html: Column) -> Column:
-    """Visible text by removal of scripts, styles, title, comments and tags."""
-    x = html
-    for p in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?is)<title[^>]*>.*?</title>", "(?s)<!--.*?-->", "(?i)<!doctype[^>]*>", "(?s)<[^>]*>"):
-        x = F.regexp_replace(x, p, " ")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return collapse(x)
+    return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in DESCRIPTIONS])

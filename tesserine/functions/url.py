@@ -66,11 +66,14 @@ def entry_ok(url: Column) -> Column:
 
 
 def is_safe_url(url: Column) -> Column:
-    """No download by extension in the path and no suspicious pattern."""
+    """No download by extension in the path, or of an address without path, and no
+    suspicious pattern."""
     path = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)", 1))
     bad = F.lit(False)
     for e in K.BLOCKED_EXTENSIONS:
         bad = bad | F.endswith(path, F.lit(e))
+        if e != ".com":
+            bad = bad | ((path == "") & F.endswith(F.lower(url), F.lit(e)))
     for p in K.SUSPICIOUS_URLS:
         bad = bad | url.rlike("(?i)^" + p)
     return F.coalesce(~bad, F.lit(False))

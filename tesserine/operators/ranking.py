@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
+LEVELS = 2
 
 
-def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: str, value: Column, out: str, levels: int = LEVELS) -> DataFrame:
     """Add the sum of value over the rows of the same keys before each row, by an
-    integer order column without ties.  Rows are cut into blocks of the order; sums
-    within a block and over the blocks before it are two windows, so no task holds
-    more than a block of rows or the list of blocks."""
-    x = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / BLOCK))
-    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-    sums = x.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
-    w = Window.partitionBy(*keys).orderBy("_b") if keys else Window.partitionBy(F.lit(0)).orderBy("_b")
-    before = sums.withColumn("_o", F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    cond = x["_b"].eqNullSafe(before["_b"])
-    for k in keys:
-        cond = cond & x[k].eqNullSafe(before[k])
-    for k in [*keys, "_b"]:
+    integer order column without ties.  Rows are cut into blocks of the order, the
+    sums of the blocks into blocks again (``levels`` times in all), so no task holds
+    more than BLOCK rows of a level: two levels serve BLOCK^3 rows of a key."""
+    at, v = f"_b{levels}", f"_v{levels}"
+    x = df.withColumn(v, value).withColumn(at, F.floor(F.col(order) / BLOCK))
+    inner = Window.partitionBy(*keys, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_in", F.coalesce(F.sum(v).over(inner), F.lit(0)))
+    sums = x.groupBy(*keys, at).agg(F.sum(v).alias("_s"))
+    if levels > 1:
+        before = running(sums, keys, at, F.col("_s"), "_o", levels - 1).drop("_s")
+    else:
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        before = sums.withColumn("_o", F.coalesce(F.sum("_s").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    for k in [*keys, at]:
         before = before.withColumnRenamed(k, f"_k{k}")
-    cond = F.col("_b").eqNullSafe(F.col("_k_b"))
-    for k in keys:
+    cond = F.lit(True)
+    for k in [*keys, at]:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{k}"))
-    joined = x.join(before, cond)
-    return joined.withColumn(out, F.col("_in") + F.col("_o")).select(*df.columns, out)
+    return x.join(before, cond).withColumn(out, F.col("_in") + F.col("_o")).select(*df.columns, out)
 
 
 def positions(df: DataFrame, order: str, out: str = "pos") -> DataFrame:

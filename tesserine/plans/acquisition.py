@@ -14,14 +14,14 @@ from .base import q, query, sql_list, table
 from .corpus import sql_map
 
 SQL_USABLE = (
-    "status = '200' AND contains(mime, 'html') AND coalesce(filename, '') <> '' AND coalesce(offset_text, '') <> '' AND coalesce(length_text, '') <> '' AND contains(url, domain)"
+    "status = '200' AND contains(mime, 'html') AND coalesce(filename, '') <> '' AND coalesce(offset_text, '') <> '' AND coalesce(length_text, '') <> '' AND contains(url, domain) "
+    "AND regexp_matches(substr(url, instr(url, domain) + length(domain)), '^(/?|/index\\.html|/[?#](.|\n)*)$')"
 )
 
 
 @query(f"SELECT domain, url, capture_ts, filename FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY capture_ts, url, filename, offset_text) AS r FROM (SELECT DISTINCT * FROM crawl_index) t WHERE {SQL_USABLE} AND domain IS NOT NULL) u WHERE r = 1")
 def first_usable_capture(spark: SparkSession, d: str) -> DataFrame:
-    """The earliest readable home-page record of each domain.  The SQL twin lacks
-    the home-page condition."""
+    """The earliest readable home-page record of each domain."""
     x = table(spark, d, "crawl_index").distinct().where("domain is not null")
     ok = url.usable_capture(*(F.col(c) for c in ("status", "mime", "filename", "offset_text", "length_text", "url", "domain")))
     return crawls.first_usable(x, ok, F.struct("capture_ts", "url", "filename", "offset_text")).select("domain", "url", "capture_ts", "filename")
@@ -57,7 +57,7 @@ def eval_space(spark: SparkSession, d: str) -> DataFrame:
     that is a gold label."""
     gold = table(spark, d, "gold_labels").select(F.col("expected").alias("parent")).distinct().withColumn("known", F.lit(True))
     v = table(spark, d, "verdicts").where("raw_label is not null").select("verdict_id", "raw_label", F.split_part("raw_label", F.lit("/"), F.lit(1)).alias("parent"))
-    x = v.join(F.broadcast(gold), "parent", "left")
+    x = v.join(gold, "parent", "left")
     return x.select("verdict_id", F.when(F.contains("raw_label", F.lit("/")) & F.col("known"), F.col("parent")).otherwise(taxonomy.map_category(F.col("raw_label"))).alias("label"))
 
 
@@ -87,11 +87,13 @@ def valid_category(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "results").where("category is not null").groupBy("category", F.col("category").isin(*K.CLASSES).alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT fetch_id, k AS label, v AS probability FROM (SELECT DISTINCT fetch_id, unnest(map_keys(raw_predictions)) AS k, unnest(map_values(raw_predictions)) AS v FROM results WHERE raw_predictions IS NOT NULL) t WHERE v >= 0.10")
+@query("SELECT fetch_id, k AS label, v AS probability FROM (SELECT DISTINCT fetch_id, unnest(map_keys(raw_predictions)) AS k, unnest(map_values(raw_predictions)) AS v FROM results WHERE raw_predictions IS NOT NULL) t QUALIFY v >= 0.10 OR (max(v) OVER (PARTITION BY fetch_id) < 0.10 AND row_number() OVER (PARTITION BY fetch_id ORDER BY v DESC, k) = 1)")
 def result_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of results at or above the floor."""
+    """Labels of results at or above the floor, the best one where none is."""
     x = table(spark, d, "results").where("raw_predictions is not null").select("fetch_id", F.explode("raw_predictions").alias("label", "probability")).distinct()
-    return x.where(F.col("probability") >= K.LABEL_FLOOR)
+    best = x.groupBy("fetch_id").agg(F.max("probability").alias("top"), F.min_by("label", F.struct(-F.col("probability"), "label")).alias("best"))
+    kept = x.join(best, "fetch_id").where((F.col("probability") >= K.LABEL_FLOOR) | ((F.col("top") < K.LABEL_FLOOR) & (F.col("label") == F.col("best"))))
+    return kept.select("fetch_id", "label", "probability")
 
 
 @query()

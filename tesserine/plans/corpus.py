@@ -107,14 +107,26 @@ def corpus_counters(spark: SparkSession, d: str) -> DataFrame:
     return relabelled(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("category")).alias("moved"), F.count_if(~F.col("passes")).alias("refused"))
 
 
+SQL_CAPPED = (
+    f"(SELECT *, coalesce(sum(CASE WHEN passes AND label = category THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {SQL_FINAL} t)"
+)
+
+
 @query(
-    f"SELECT doc_id, category, label FROM (SELECT *, coalesce(sum(CASE WHEN passes AND label = category THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {SQL_FINAL} t) u WHERE passes AND before < {CAP}"
+    f"WITH f AS {SQL_CAPPED}, k AS (SELECT * FROM f WHERE category NOT IN ('parked', 'unavailable') AND passes AND before < {CAP}) SELECT doc_id, category, label FROM k UNION ALL SELECT doc_id, category, label FROM f WHERE category IN ('parked', 'unavailable') "
+    f"AND passes AND before + (SELECT count(*) FROM k WHERE k.label = f.category AND k.doc_id < f.doc_id) < {CAP}"
 )
 def per_class_cap(spark: SparkSession, d: str) -> DataFrame:
-    """A row stays while fewer than the cap of its category were kept before it
-    under that name; relabelled rows don't fill the cap."""
-    x = ranking.running(relabelled(spark, d), ["category"], "doc_id", (F.col("passes") & (F.col("label") == F.col("category"))).cast("int"), "before")
-    return x.where(F.col("passes") & (F.col("before") < CAP)).select("doc_id", "category", "label")
+    """A row stays while fewer than the cap of its first category were kept before
+    it under that name; rows relabelled to a placeholder class fill that class."""
+    names = ("parked", "unavailable")
+    rows = relabelled(spark, d).where("passes")
+    plain = ranking.running(rows.where(~F.col("category").isin(*names)), ["category"], "doc_id", (F.col("label") == F.col("category")).cast("int"), "before")
+    kept = plain.where(F.col("before") < CAP).select("doc_id", "category", "label")
+    own = rows.where(F.col("category").isin(*names)).select("doc_id", "category", "label", F.lit(True).alias("own"))
+    into = kept.where(F.col("label").isin(*names)).select("doc_id", F.col("label").alias("category"), "label", F.lit(False).alias("own"))
+    fill = ranking.running(own.unionByName(into), ["category"], "doc_id", (F.col("label") == F.col("category")).cast("int"), "before")
+    return kept.unionByName(fill.where(F.col("own") & (F.col("before") < CAP)).select("doc_id", "category", "label"))
 
 
 @query(f"SELECT category, doc_id FROM (SELECT category, doc_id, row_number() OVER (PARTITION BY category ORDER BY sha256(concat('42:', doc_id)), doc_id) AS r FROM documents WHERE category IS NOT NULL) t WHERE r <= {PER_CLASS}")
@@ -133,19 +145,27 @@ def class_vocab_topk(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "word"))).where(F.col("r") <= TOP)
 
 
+SQL_NAMES = f"coalesce(category, '') NOT IN {sql_list(K.DROPPED)}"
+
+
 @query(
-    f"WITH f AS (SELECT b.doc_id, b.domain, b.x, f.label FROM {SQL_TRIGGERED} JOIN {SQL_FINAL} f ON b.doc_id = f.doc_id WHERE f.passes AND f.label <> '' AND b.domain IS NOT NULL), u AS (SELECT * FROM f WHERE x IN (SELECT x FROM f GROUP BY x HAVING count(*) = 1)), "
-    f"k AS (SELECT *, {SQL_HASH} AS h FROM u WHERE label IN (SELECT label FROM u GROUP BY label HAVING count(*) >= {FLOOR})) SELECT doc_id, label, {SQL_SPLIT} AS split, concat_ws(' ', regexp_replace(domain, '\\.[^.]*$', ''), lower(trim(regexp_replace(x, {q(W + '+')}, ' ', 'g')))) AS text FROM k"
+    f"WITH f AS (SELECT b.doc_id, b.domain, b.x, f.label FROM {SQL_TRIGGERED} JOIN {SQL_FINAL} f ON b.doc_id = f.doc_id WHERE f.passes AND f.label <> '' AND b.domain IS NOT NULL AND {SQL_NAMES.replace('category', 'b.category')}), "
+    "u AS (SELECT * FROM f WHERE x IN (SELECT x FROM f GROUP BY x HAVING count(*) = 1)), "
+    f"k AS (SELECT *, {SQL_HASH} AS h FROM u WHERE label IN (SELECT label FROM u GROUP BY label HAVING count(*) >= {FLOOR})) "
+    f"SELECT doc_id, label, {SQL_SPLIT} AS split, concat_ws(' ', regexp_replace(domain, '\\.[^.]*$', ''), lower(trim(regexp_replace(x, {q(W + '+')}, ' ', 'g')))) AS text FROM k"
 )
 def prepare_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """End to end: relabel, filter, drop all duplicates, floor, split, model input."""
-    x = triggered(spark, d).select("doc_id", "domain", "x").join(relabelled(spark, d), "doc_id").where("passes and label <> '' and domain is not null")
-    x = x.withColumn("h", F.sha2("x", 256))
-    once = x.groupBy("h").agg(F.count("*").alias("n")).where("n = 1").select("h")
-    u = x.join(once, "h", "left_semi")
-    big = u.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= FLOOR).select("label")
-    k = u.join(F.broadcast(big), "label", "left_semi")
-    return k.select("doc_id", "label", maths.hash_split(F.col("domain")).alias("split"), F.concat_ws(" ", url.stem(F.col("domain")), text.clean(F.col("x"))).alias("text"))
+    """End to end: dropped names, relabel, filter, drop all duplicates, floor, split,
+    model input.  Duplicates and floors are decided on digests; texts are joined
+    with what is left of them once."""
+    c, x = F.coalesce("category", F.lit("")), F.col("x")
+    label = F.when(rules.parked(x), "parked").when(rules.unavailable(x), "unavailable").otherwise(c)
+    rows = triggered(spark, d).where(~c.isin(*K.DROPPED) & F.col("domain").isNotNull() & (text.tokens(x) >= K.CORPUS_MIN_TOKENS))
+    rows = rows.select("doc_id", "domain", "x", label.alias("label"), F.sha2("x", 256).alias("h")).where("label <> ''")
+    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("label").alias("label")).where("n = 1").select("doc_id", "label")
+    big = once.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= FLOOR).select("label")
+    k = rows.join(once.join(big, "label", "left_semi").select("doc_id"), "doc_id", "left_semi")
+    return k.select("doc_id", "label", maths.hash_split(F.col("domain")).alias("split"), F.concat_ws(" ", url.stem(F.col("domain")), text.clean(x)).alias("text"))
 
 
 @query("SELECT source, count(*) AS docs, sum(n_chars) AS chars, count(DISTINCT domain) AS domains FROM documents GROUP BY source")

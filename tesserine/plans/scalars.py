@@ -25,7 +25,7 @@ SQL_TITLE = f"lower(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<ti
 ODD = (
     "https://example.com:8080/path", "https://", "sub.example.com/path", "a.example?x", "HTTP://UPPER.example/", "user:pw@host.example/x", "ftp://files.example/a.exe",
     "http://127.0.0.1/x", "http://[::1]/", "https://site.example/download/pack.tar.gz?v=1", "https://site.example/get?download=1", "https://site.example/run.exe?x=1",
-    "http://printer.local/", "https://nodots/", "https://shop.example/attachment/7", "example", "https://x.example/setup.MSI", "-bad.example", "a..b.example",
+    "http://printer.local/", "https://nodots/", "https://shop.example/attachment/7", "example", "setup.exe", "http://files.zip", "https://a.example?f=x.exe", "https://x.example/setup.MSI", "-bad.example", "a..b.example",
 )
 SQL_URLS = "(SELECT DISTINCT url FROM crawl_index WHERE url IS NOT NULL UNION SELECT * FROM (VALUES " + ", ".join(f"({q(u)})" for u in ODD) + ") t(url))"
 
@@ -77,7 +77,7 @@ def url_entry_check(spark: SparkSession, d: str) -> DataFrame:
 
 def _safe_sql() -> str:
     path = r"lower(regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?[^/?#]*([^?#]*)', 1))"
-    bad = " OR ".join([f"ends_with(p, {q(e)})" for e in K.BLOCKED_EXTENSIONS] + [f"regexp_matches(url, {q('(?i)^' + s)})" for s in K.SUSPICIOUS_URLS])
+    bad = " OR ".join([f"ends_with(p, {q(e)})" for e in K.BLOCKED_EXTENSIONS] + [f"(p = '' AND ends_with(lower(url), {q(e)}))" for e in K.BLOCKED_EXTENSIONS if e != ".com"] + [f"regexp_matches(url, {q('(?i)^' + s)})" for s in K.SUSPICIOUS_URLS])
     return f"SELECT url, NOT ({bad}) AS safe FROM (SELECT url, {path} AS p FROM {SQL_URLS}) t"
 
 
@@ -109,7 +109,7 @@ def html_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_results").where("html <> ''").select("fetch_id", text.html_title(F.col("html")).alias("title"))
 
 
-@query("""SELECT fetch_id, coalesce(nullif(regexp_extract(html, '(?i)<meta name="description" content="([^"]*)"', 1), ''), nullif(regexp_extract(html, '(?i)<meta property="og:description" content="([^"]*)"', 1), '')) AS description FROM fetch_results WHERE html <> ''""")
+@query("SELECT fetch_id, coalesce(" + ", ".join(f"nullif(regexp_extract(html, {q(p)}, 1), '')" for p in text.DESCRIPTIONS) + ") AS description FROM fetch_results WHERE html <> ''")
 def html_description(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "fetch_results").where("html <> ''").select("fetch_id", text.html_description(F.col("html")).alias("description"))
 

@@ -18,9 +18,10 @@ def stream_outcome_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id")
 def stream_fresh_users(spark: SparkSession, d: str) -> DataFrame:
-    """First event per user, from a stream reduced batch by batch."""
-    s = jobs.stream(spark, f"{d}/events.parquet").groupBy("user_id").agg(F.min("ts").alias("ts"))
-    return jobs.drain(s, "complete")
+    """First event per user: every batch of the stream is reduced and appended, so
+    no state grows with the users."""
+    first = lambda b: b.groupBy("user_id").agg(F.min("ts").alias("ts"))
+    return jobs.fold(jobs.stream(spark, f"{d}/events.parquet").select("user_id", "ts"), first)
 
 
 @query()

@@ -98,7 +98,7 @@ SQL_GOLD = f"(SELECT {SQL_CELL} AS cell, v.category = g.expected AS new_hit, coa
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "gold_labels").select(F.lower("domain").alias("dom"), "expected")
-    x = latest(spark, d).where("status = 'ok' and category is not null").join(F.broadcast(g), "dom")
+    x = latest(spark, d).where("status = 'ok' and category is not null").join(g, "dom")
     return x.select(cell(F.col("status"), F.col("category"), F.col("old_category")).alias("cell"), (F.col("category") == F.col("expected")).alias("new_hit"), F.coalesce(F.col("old_category") == F.col("expected"), F.lit(False)).alias("old_hit"))
 
 
@@ -168,3 +168,10 @@ def llm_parse(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "verdicts").select("verdict_id", reply_of().alias("reply"))
     return replies.parsed(x, "verdict_id", "reply", list(K.CLASSES))
 
+
+@query()
+def llm_parse_single(spark: SparkSession, d: str) -> DataFrame:
+    """The same for replies to one request: a list gives its first item."""
+    x = table(spark, d, "verdicts").select("verdict_id", reply_of().alias("reply"))
+    return replies.parsed(x, "verdict_id", "reply", list(K.CLASSES), single=True).drop("item")
+

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,30 @@ def outcome_windows(events: DataFrame, time: str, kind: str, size: str = "1 day"
     return _timed(events, time).withWatermark(time, late).groupBy(F.window(time, size).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the one all executors share; only a local session, whose
+    only machine this is, may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return base.rstrip("/") + "/stream-" + os.urandom(6).hex() if base else tempfile.mkdtemp(prefix="tesserine-stream-")
+
+
+def fold(df: DataFrame, reduce: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Reduce each batch of a stream, append the results to a table and reduce that:
+    for reductions of reductions (least, greatest, sums), without state."""
+    base = folder(df.sparkSession)
+    out = f"{base}/out"
+    w = df.writeStream.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
+    w.foreachBatch(lambda b, n: reduce(b).write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    return reduce(df.sparkSession.read.parquet(out).drop("batch"))
+
+
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, into a table of the session's shared
     folder, and read that table."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base.rstrip("/") + "/stream-" + os.urandom(6).hex() if base else tempfile.mkdtemp(prefix="tesserine-stream-")
+    base = folder(spark)
     out = f"{base}/out"
     w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True)
     if mode == "append":
