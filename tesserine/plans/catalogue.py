@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import acquisition, corpus, pipeline, scalars, scores, streams, verdicts  # noqa: F401
+from . import acquisition, audit, corpus, pipeline, scalars, scores, selection, streams, verdicts  # noqa: F401
 from .base import QUERIES, SQL, Query
 
 

@@ -143,3 +143,26 @@ def test_first_usable_capture_is_a_home_page(spark, tmp_path):
     spark.createDataFrame(rows, "url string, domain string, capture_ts string, status string, mime string, filename string, offset_text string, length_text string").write.parquet(f"{tmp_path}/crawl_index.parquet")
     got = {(r["domain"], r["url"]) for r in catalogue.queries()["first_usable_capture"](spark, str(tmp_path)).collect()}
     assert got == {("a.example", "https://a.example/"), ("c.example", "https://c.example/?q=1")}
+
+
+def test_single_replies():
+    from tesserine.operators import replies
+
+    assert replies.parse_one('[{"category": "News"}, {"category": "sports"}]')[1] == "news"
+    assert replies.parse_one('Sure:\n```json\n{"category": "Shopping", "confidence": 2}\n```\nDone {x}.')[1:3] == ("shopping", 1.0)
+    assert replies.parse_one("{category: \"health\", confidence: 0.4}")[1:3] == ("health", 0.4)
+    assert replies.parse_one("I say it is classified as: finance, confidence: 0.7.")[1:3] == ("finance", 0.7)
+    assert replies.parse_one('{"a": [1, 2], "note": "x}"} then {"category": "adult", "reasoning": "has {braces} and ]"}')[1] == "adult"
+    assert replies.parse_one("[]") is None and replies.parse_one("") is None and replies.parse_one(None) is None
+    assert [r[1] for r in replies.parse('Here: [{"category": "a1", "domain": "X.example"}, {"category": ""}, {"category": "b"}] end')] == ["a1", "b"]
+
+
+def test_running_over_two_levels(spark):
+    from pyspark.sql import functions as F
+
+    from tesserine.operators import ranking
+
+    n = ranking.BLOCK * 2 + 5
+    df = spark.range(0, n * 3, 3).withColumn("k", F.col("id") % 2)
+    got = ranking.running(df, ["k"], "id", F.lit(1), "before").where(f"id >= {3 * n - 30}").collect()
+    assert got and all(r["before"] == r["id"] // 6 for r in got)
