@@ -119,6 +119,7 @@ def from_prose(reply: str) -> tuple[None, str, float, str] | None:
     if not number and "confidence" in low:
         before = low[: low.find("confidence")].split()
         number = before[-1] if before and before[-1].replace(".", "", 1).isdigit() else ""
+    number = number.rstrip(".")
     return None, found, _sure(number) if number else 0.5, "Parsed from text response"
 
 
