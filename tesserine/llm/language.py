@@ -72,17 +72,31 @@ class Crf:
 
     def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray):
         self.langs, self.weights, self.trans = langs, weights, trans
-        self.kept: dict[str, np.ndarray] = {}
-
-    def emission(self, word: str) -> np.ndarray:
-        e = self.kept.get(word)
-        if e is None:
-            if len(self.kept) > CACHE:
-                self.kept.clear()
+        self.kept: dict[str, int] = {}
+        self.rows = np.empty((1024, len(langs)), np.float32)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Emission of every word (words x langs); distinct words are kept."""
+        if len(self.kept) + len(words) > CACHE:
+            self.kept.clear()
+        get = self.kept.get
+        at = [get(w) for w in words]
+        if None in at:
+            for i, k in enumerate(at):
+                if k is None:
+                    at[i] = self._row(words[i])
+        return self.rows[at]
+
+    def _row(self, word: str) -> int:
+        k = self.kept.get(word)
+        if k is None:
+            k = self.kept[word] = len(self.kept)
+            if k >= len(self.rows):
+                self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
             f = features(word)
             e = self.weights[f].sum(0) if f else np.zeros(len(self.langs), np.float32)
-            self.kept[word] = e = np.exp(e - e.max()).astype(np.float32)
-        return e
+            self.rows[k] = np.exp(e - e.max())
+        return k
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Per text the marginals (words x langs) of forward-backward."""
@@ -100,7 +114,7 @@ class Crf:
             longest = len(texts[some[-1]])
             e = np.ones((longest, len(some), k), np.float32)
             for j, i in enumerate(some):
-                e[: len(texts[i]), j] = [self.emission(w) for w in texts[i]]
+                e[: len(texts[i]), j] = self.emissions(texts[i])
             m = forward_backward(e, np.exp(self.trans).astype(np.float32), [len(texts[i]) for i in some])[0]
             for j, i in enumerate(some):
                 out[i] = m[: len(texts[i]), j]

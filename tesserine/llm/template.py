@@ -59,7 +59,7 @@ FORM_CACHE = 100_000
 _forms: dict[str, tuple[int, str, int, str, list[str], list[str]]] = {}
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|head|template)\b[^>]*>.*?</\1\s*>|<!doctype[^>]*>")
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>\"']*+(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*+)*+)>")
 _NAMED = re.compile(r"""(?:^|\s)(class|id)\s*=\s*["']?([^"'\s>]+)""")
 _CONTAINERS = frozenset("div nav article main header footer section aside table thead tbody tr td th ul ol dl form noscript figure".split())
 _INLINE = frozenset("a b i u em strong span small sup sub font abbr code mark".split())
@@ -205,7 +205,7 @@ def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = f
             elif lost and len(low := _HIGHER.sub("", k)) > 3:
                 got = loose.get(low)
         trio = "/".join((forms[j - 1][5] if j else "^", form, forms[j + 1][5] if j + 1 < len(forms) else "$"))
-        lines.append((i, list(got[0]) if got else [], got[1] if got else 0, n, mask, trio))
+        lines.append((i, got[0][-1] if got else None, got[1] if got else 0, n, mask, trio))
         if got:
             slots[got[0]] = slots.get(got[0], 0) + n
     return lines, [(up[-1], list(up), n) for up, n in slots.items()], list(tokens.values()), orphans, said, read
@@ -213,7 +213,7 @@ def analyse(text: str, page: str | None, function: frozenset[str] | set[str] = f
 
 _I64, _I32, _STR = pa.int64(), pa.int32(), pa.string()
 _LIST = pa.list_
-_LINE = pa.struct([("no", _I32), ("up", _LIST(_I64)), ("tok", _I64), ("words", _I32), ("mask", _I64), ("shape", _STR)])
+_LINE = pa.struct([("no", _I32), ("slot", _I64), ("tok", _I64), ("words", _I32), ("mask", _I64), ("shape", _STR)])
 _ARROW = pa.schema(
     [
         ("fetch_id", _I64), ("domain", _STR), ("lines", _LIST(_LINE)), ("slots", _LIST(pa.struct([("slot", _I64), ("up", _LIST(_I64)), ("words", _I32)]))),
@@ -287,8 +287,8 @@ def body_slots(pages: DataFrame, boxes: DataFrame, texts: DataFrame) -> DataFram
     """(fetch_id, body): the slot that holds a page's body."""
     slot = pages.select("fetch_id", "domain", F.explode("slots").alias("s")).select("fetch_id", "domain", "s.*")
     own = cut(slot.groupBy("domain", "slot").agg(F.any_value("up").alias("up"), F.sum("words").alias("words"), F.count("*").alias("pages")))
-    line = pages.select("domain", F.explode("lines").alias("l")).where("size(l.up) > 0")
-    fixed = line.select("domain", F.element_at("l.up", -1).alias("slot"), F.col("l.tok").alias("tok"), F.col("l.words").alias("words"))
+    line = pages.select("domain", F.explode("lines").alias("l")).where("l.slot is not null")
+    fixed = line.select("domain", F.col("l.slot").alias("slot"), F.col("l.tok").alias("tok"), F.col("l.words").alias("words"))
     fixed = fixed.join(texts, ["domain", "tok"], "left_semi").groupBy("domain", "slot").agg(F.sum("words").alias("fixed"))
     left = own.where("domain <> ''").join(fixed, ["domain", "slot"], "left").select("domain", "up", (F.col("words") - F.coalesce("fixed", F.lit(0))).alias("words"))
     total = left.groupBy("domain").agg(F.sum("words").alias("total"))
@@ -307,17 +307,18 @@ def judged_lines(pages: DataFrame) -> DataFrame:
     boxes, texts = classes(pages)
     texts = small(texts, "24 + length(domain)")
     body = small(body_slots(pages, boxes, texts), "16")
+    inside = F.expr("transform(filter(slots, s -> array_contains(s.up, body)), s -> s.slot)")
     line = (
-        pages.select("fetch_id", "domain", "lines")
+        pages.select("fetch_id", "domain", "lines", "slots")
         .join(body, "fetch_id", "left")
-        .select("fetch_id", "domain", "body", F.explode("lines").alias("l"))
-        .select("fetch_id", "domain", "body", "l.*")
+        .select("fetch_id", "domain", inside.alias("inside"), F.explode("lines").alias("l"))
+        .select("fetch_id", "domain", "inside", "l.*")
         .join(texts.withColumn("template", F.lit(True)), ["domain", "tok"], "left")
     )
     line = cut(
         line.select(
             "fetch_id", "domain", "no", "words", "mask", "shape",
-            F.when((F.size("up") > 0) & F.col("body").isNotNull(), F.coalesce("template", F.lit(False)) | ~F.array_contains("up", F.col("body"))).alias("known"),
+            F.when(F.size("inside") > 0, F.coalesce("template", F.lit(False)) | ~F.array_contains("inside", F.col("slot"))).alias("known"),
         )
     )
     seen = line.where("known is not null")
