@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import small
 from .encoding import samples_of
 
 SAMPLE_BOUND = 500
@@ -390,7 +390,6 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     packed = pack(fit(rows))
     page = template.parsed(pages, samples)
     line = template.judged_lines(page)
-    line = cut(line)
     skip = line.where("furniture").groupBy("fetch_id").agg(F.collect_set("no").alias("skip"))
     drop = residue.found(page, line, pages).union(page.where("garbled_text or garbled_html").select("fetch_id")).distinct()
 
@@ -412,5 +411,5 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
                     yield pd.DataFrame(out, columns=["fetch_id", "field", "lang"])
 
     src = pages.select(F.col("fetch_id").cast("long").alias("fetch_id"), "text", "meta_description", "lang").where("fetch_id is not null and (coalesce(text, '') <> '' or coalesce(meta_description, '') <> '')")
-    src = src.join(drop, "fetch_id", "left_anti").join(skip, "fetch_id", "left")
+    src = src.join(small(drop, "8"), "fetch_id", "left_anti").join(small(skip, "24 + 4 * size(skip)"), "fetch_id", "left")
     return src.mapInPandas(run, "fetch_id long, field string, lang string").distinct()

@@ -330,7 +330,7 @@ def judged_lines(pages: DataFrame) -> DataFrame:
     clear = F.when((F.col("n") >= CLEAR) & ((F.col("p") <= 0.1) | (F.col("p") >= 0.9)), F.col("p"))
     rest = rest.withColumn("furniture", F.coalesce(clear, F.col("sp"), F.col("p"), F.lit(0.0)) > 0.5)
     cols = ["fetch_id", "domain", "no", "words", "mask"]
-    return seen.select(*cols, F.col("known").alias("furniture")).unionByName(rest.select(*cols, "furniture"))
+    return seen.select(*cols, F.col("known").alias("furniture")).unionByName(cut(rest.select(*cols, "furniture")))
 
 
 def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
@@ -339,9 +339,9 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     from . import residue
 
     page = parsed(pages, samples, spam_too=True)
-    line = cut(judged_lines(page))
+    line = judged_lines(page)
     drop = residue.found(page, line, pages).union(page.where("spam").select("fetch_id")).distinct()
-    return line.where("furniture").select("fetch_id", F.col("no").cast("long").alias("line_no")).join(drop, "fetch_id", "left_anti").distinct()
+    return line.where("furniture").select("fetch_id", F.col("no").cast("long").alias("line_no")).join(small(drop, "8"), "fetch_id", "left_anti").distinct()
 
 
 def bodies(pages: DataFrame, samples: DataFrame) -> DataFrame:
