@@ -384,7 +384,6 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     body is what problem 2 leaves of the text; spam, residue and garbled rows are
     left out."""
     from . import residue, spam, template
-    from .encoding import Analyser
 
     rows = samples_of(samples, SAMPLE_BOUND)
     packed = pack(fit(rows))
@@ -395,7 +394,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)
-        an, prose = Analyser(rows), spam.model_of(tuple(rows))
+        prose = spam.model_of(tuple(rows))  # garbled rows are gone
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part, out = b.iloc[lo : lo + 1000], []
@@ -405,7 +404,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
                     meta = judge_batch(model, [(t or "", frozenset()) for t in part["meta_description"]])
                     for i, label, t, x, y in zip(part["fetch_id"], part["lang"], part["text"], body, meta):
                         got = found_fields(label, x, y)
-                        if got and not ((j := spam.judge(t, prose, an)) and j[0]):
+                        if got and not ((j := spam.judge_right(t, prose, False)) and j[0]):
                             out += [(i, *g) for g in got]
                 if out:
                     yield pd.DataFrame(out, columns=["fetch_id", "field", "lang"])
