@@ -11,13 +11,13 @@ capital Cyrillic or Latin letters beside a mark can look like one.
 
 Bytes of one single-byte page read as another have no multibyte structure.  For
 those a word is re-read through each plausible pair of pages and both readings
-are scored by letter-pair models of the languages, fitted on the bounded table of
-labelled samples; a reading wins only by a clear margin.  Places whose original
+are scored by letter-pair models of the languages, counted over all labelled
+samples; a reading wins only by a clear margin.  Places whose original
 characters are lost (U+FFFD, C1 controls, a lead byte without its rest) make a
 field affected but not restorable there.
 
-Every distinct word is analysed once per worker.  The models are a bounded
-broadcast (languages x letter pairs of the fixed sample table).
+Every distinct word is analysed once per worker.  The letter pairs are counted
+where the samples lie; only the counts are shipped (languages x letter pairs).
 
 Defined results: rows without key are left out; NULL and empty fields are not affected; correctly decoded
 unusual characters are not; an empty table gives no rows; with an empty sample
@@ -30,7 +30,8 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -147,18 +148,29 @@ def decode_spans(token: str) -> tuple[str, bool]:
     return token, done
 
 
+#: (language, letter pair, count), sorted.
+Pairs = tuple[tuple[str, str, int], ...]
+
+
+def count_pairs(rows: Iterable[tuple[str, str]]) -> Pairs:
+    """Letter pairs of the lower-cased words of labelled texts, by language."""
+    counts: Counter = Counter()
+    for lang, text in rows:
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            w = f"^{w}$"
+            counts.update((lang, a + b) for a, b in zip(w, w[1:]))
+    return tuple(sorted((*k, n) for k, n in counts.items()))
+
+
 class PairModel:
     """Letter-pair models of the languages, over lower-cased words."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        counts: dict[str, Counter] = defaultdict(Counter)
+    def __init__(self, pairs: Pairs):
+        counts: dict[str, dict[str, int]] = defaultdict(dict)
         first: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in rows:
-            for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
-                w = f"^{w}$"
-                for a, b in zip(w, w[1:]):
-                    counts[lang][a + b] += 1
-                    first[lang][a] += 1
+        for lang, pair, n in pairs:
+            counts[lang][pair] = n
+            first[lang][pair[0]] += n
         self.logs = {k: {p: math.log((n + 0.02) / (first[k][p[0]] + 1.2)) for p, n in c.items()} for k, c in counts.items()}
         self.first = dict(first)
         self.letters = {k: {x for p in c for x in p} for k, c in counts.items()}
@@ -245,8 +257,8 @@ class Analyser:
     A re-reading of one word alone is not sure unless its gain is STRONG: a
     foreign name may look like one.  Two such words make a field affected."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
-        self.model = PairModel(samples)
+    def __init__(self, samples: list[tuple[str, str]] = (), pairs: Pairs | None = None):
+        self.model = PairModel(count_pairs(samples) if pairs is None else pairs)
         self.kept: dict[str, tuple[bool, str, bool, bool]] = {}
 
     def token(self, t: str) -> tuple[bool, str, bool, bool]:
@@ -303,20 +315,42 @@ class Analyser:
         return TOKEN.sub(one, field), not lost
 
 
+@lru_cache(maxsize=2)
+def analyser(pairs: Pairs) -> Analyser:
+    """The analyser of a worker, kept from task to task."""
+    return Analyser(pairs=pairs)
+
+
+def labelled(samples: DataFrame) -> DataFrame:
+    """(lang, text) of the samples that have both."""
+    return samples.where("text is not null and lang is not null").select("lang", "text")
+
+
 def samples_of(samples: DataFrame, bound: int = 500) -> list[tuple[str, str]]:
     """The labelled samples, at most ``bound`` rows of each language (the table is
     fixed)."""
     by = Window.partitionBy("lang").orderBy("text")
-    some = samples.where("text is not null and lang is not null").select("lang", "text", F.row_number().over(by).alias("r")).where(F.col("r") <= bound)
+    some = labelled(samples).withColumn("r", F.row_number().over(by)).where(F.col("r") <= bound)
     return sorted((r[0], r[1]) for r in some.collect())
 
 
+def pairs_of(samples: DataFrame) -> Pairs:
+    """The letter pairs of all labelled samples, counted by the workers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list(count_pairs(zip(b["lang"], b["text"]))), columns=["lang", "pair", "n"])
+
+    counted = labelled(samples).mapInPandas(run, "lang string, pair string, n long").groupBy("lang", "pair").agg(F.sum("n"))
+    return tuple(sorted(map(tuple, counted.collect())))
+
+
 def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     """(fetch_id, field) of the affected fields."""
-    rows = samples_of(samples)
+    pairs = pairs_of(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        an = Analyser(rows)
+        an = analyser(pairs)
         for b in batches:
             out = [(i, f) for f in ("text", "html") for i, x in zip(b["fetch_id"], b[f]) if an.affected(x)]
             if out:
@@ -328,10 +362,10 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
 
 def restored(pages: DataFrame, samples: DataFrame) -> DataFrame:
     """(fetch_id, field, restored, lossless) of the affected fields."""
-    rows = samples_of(samples)
+    pairs = pairs_of(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        an = Analyser(rows)
+        an = analyser(pairs)
         for b in batches:
             out = []
             for f in ("text", "html"):

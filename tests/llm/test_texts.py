@@ -85,6 +85,20 @@ def test_encoding_table(spark, samples):
     assert all(r["restored"] == "montaña" and r["lossless"] for r in encoding.restored(t, samples).collect())
 
 
+
+def crowded(samples):
+    """The samples behind 600 rows of each language that say nothing and sort first."""
+    return samples.union(samples.sparkSession.range(600).crossJoin(samples.select("lang").distinct()).selectExpr("-id", "lang", "'!'"))
+
+
+def test_letter_pairs_of_every_sample(spark, samples, rows):
+    ru = next(t for lang, t in rows if lang == "ru")
+    t = table(spark, [{"fetch_id": 1, "text": ru.encode("cp1251", "replace").decode("cp1252", "replace")}, {"fetch_id": 2, "text": ru}])
+    assert [tuple(r) for r in encoding.found(t, crowded(samples)).collect()] == [(1, "text")]
+    assert [r["lossless"] for r in encoding.restored(t, crowded(samples)).collect()] == [True]
+    assert encoding.pairs_of(crowded(samples)) == encoding.pairs_of(samples) == encoding.count_pairs(rows)
+
+
 # -- languages ------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def crf(rows):
