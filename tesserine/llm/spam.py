@@ -4,8 +4,10 @@ Method.  A text becomes a sequence of classes: function words stand for
 themselves, other words for their class (capital or small initial; seen once or
 at least twice in the last ``REACH`` tokens), numbers, addresses, list marks, line
 ends and sentence marks for theirs.  An interpolated trigram model of such
-sequences is trained on prose (the fixed table of labelled language samples);
-function words are each language's ``FUNCTION_WORDS`` most widespread words there.
+sequences is trained on prose (all labelled language samples); function words are
+each language's ``FUNCTION_WORDS`` most widespread words there.  Words and trigrams
+are counted where the samples lie; the driver gets those few words and at most as
+many trigrams as there are triples of classes.
 A page's text is read in windows of ``WINDOW`` tokens; a token's surprise is the
 mean over the window around it, and a page's that of its median token, so a
 sentence in front does not save a page, nor a list inside an article condemn it.
@@ -28,15 +30,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import Analyser, samples_of
+from .common import cut
+from .encoding import Analyser, analyser, labelled, pairs_of
 
 FUNCTION_WORDS = 20
 REACH = 24
@@ -56,37 +59,52 @@ _SENTENCE = set(",.;:!?()“”\"'«»–—-…")
 _LISTING = set("|·•/>»")
 
 
+#: A model's function words, the keys and counts of its trigrams (as bytes) and its bounds.
+Learnt = tuple[tuple[str, ...], bytes, bytes, tuple[float, float, float]]
+
+
+def spread_of(rows: Iterable[tuple[str, str]]) -> dict[str, Counter]:
+    """Per language the number of texts each word stands in."""
+    spread: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in rows:
+        spread[lang].update(set(re.findall(r"[^\W\d_]+", text.lower())))
+    return spread
+
+
 class ProseModel:
     """Class trigrams of prose, smoothed by interpolation."""
 
-    def __init__(self, samples: list[tuple[str, str]]):
-        spread: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in samples:
-            spread[lang].update(set(re.findall(r"[^\W\d_]+", text.lower())))
-        self.function = {w for c in spread.values() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:FUNCTION_WORDS] if n > 3}
+    def __init__(self, samples: list[tuple[str, str]] = (), function: Iterable[str] | None = None, trigrams: dict[int, int] | None = None):
+        if function is None:
+            function = [w for c in spread_of(samples).values() for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:FUNCTION_WORDS] if n > 3]
+        self.function = set(function)
         names = ["w", "C", "r", "R", "0", "U", "\n", "|", "#", *sorted(_SENTENCE), *sorted(self.function)]
         self.id = {n: i for i, n in enumerate(names)}
         self.n = len(names) + 1  # the last stands for the beginning
         self.kept: dict[str, int] = {}
         self.word: dict[str, int] = {}
         self.bounds = (0.0, np.inf, 1.0)
-        self.fit([[*self.sequence(t).tolist(), self.id["\n"]] for _, t in samples])
+        tri = self.trigrams(t for _, t in samples) if trigrams is None else trigrams
+        self.fit(np.array(sorted(tri), np.int64), np.array([tri[k] for k in sorted(tri)], float))
 
-    def fit(self, sequences: list[list[int]]) -> None:
-        n, start = self.n, self.n - 1
-        uni, bi, tri = np.zeros(n), np.zeros((n, n)), Counter()
-        for q in sequences:
-            q = [start, start, *q]
-            for a, b, c in zip(q, q[1:], q[2:]):
-                uni[c] += 1
-                bi[b, c] += 1
-                tri[(a * n + b) * n + c] += 1
+    def trigrams(self, texts: Iterable[str]) -> Counter:
+        """The class trigrams of texts, counted."""
+        n, tri = self.n, Counter()
+        for t in texts:
+            q = [n - 1, n - 1, *self.sequence(t).tolist(), self.id["\n"]]
+            tri.update((a * n + b) * n + c for a, b, c in zip(q, q[1:], q[2:]))
+        return tri
+
+    def fit(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        n = self.n
+        self.keys, self.counts = keys, counts
+        uni, bi = np.zeros(n), np.zeros((n, n))
+        np.add.at(uni, keys % n, counts)
+        np.add.at(bi, (keys // n % n, keys % n), counts)
         one = (uni + 0.1) / (uni.sum() + 0.1 * n)
         self.two = (bi + 2 * one) / (bi.sum(1, keepdims=True) + 2)
-        self.keys = np.array(sorted(tri), np.int64)
-        self.counts = np.array([tri[k] for k in self.keys], float)
         self.context = np.zeros(n * n)
-        np.add.at(self.context, self.keys // n, self.counts)
+        np.add.at(self.context, keys // n, counts)
 
     def _class(self, t: str) -> int:
         c = t[0]
@@ -169,6 +187,73 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> ProseModel:
     return model
 
 
+def numbered(samples: DataFrame) -> DataFrame:
+    """(lang, text, at, half) of all labelled samples: the place in the language, and
+    the half that holds every other one of all, by language and text."""
+    rows = labelled(samples)
+    size = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    before = size.select("lang", (F.sum("size").over(Window.orderBy("lang")) - F.col("size")).alias("before"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("text")) - 1).join(before, "lang")
+    return cut(rows.select("lang", "text", "at", ((F.col("before") + F.col("at")) % 2).cast("int").alias("half")))
+
+
+def function_words(rows: DataFrame) -> list[set[str]]:
+    """The function words of the first half, of the second and of all samples."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(h, lang, w, n) for h, part in b.groupby("half") for lang, c in spread_of(zip(part["lang"], part["text"])).items() for w, n in c.items()]
+            yield pd.DataFrame(out, columns=["half", "lang", "word", "n"])
+
+    half = lambda h: F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0))
+    word = rows.select("half", "lang", "text").mapInPandas(run, "half int, lang string, word string, n long")
+    word = word.groupBy("lang", "word").agg(F.array(half(0), half(1), F.sum("n")).alias("n")).select("lang", "word", F.posexplode("n").alias("model", "n")).where("n > 3")
+    top = word.withColumn("r", F.row_number().over(Window.partitionBy("model", "lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= FUNCTION_WORDS)
+    out: list[set[str]] = [set(), set(), set()]
+    for r in top.select("model", "word").collect():
+        out[r["model"]].add(r["word"])
+    return out
+
+
+def learn(samples: DataFrame) -> Learnt:
+    """The model of all samples with the bounds of held-out prose; see ``model_of``."""
+    rows = numbered(samples)
+    words = function_words(rows)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [ProseModel(function=w, trigrams={}) for w in words]
+        for b in batches:
+            out = [(m, k, n) for m, part in (*b.groupby("half"), (2, b)) for k, n in models[m].trigrams(part["text"]).items()]
+            yield pd.DataFrame(out, columns=["model", "key", "n"])
+
+    tri: list[dict[int, int]] = [{}, {}, {}]
+    for m, k, n in rows.select("half", "text").mapInPandas(count, "model int, key long, n long").groupBy("model", "key").agg(F.sum("n")).collect():
+        tri[m][k] = n
+    halves = [ProseModel(function=w, trigrams=t) for w, t in zip(words[:2], tri)]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [halves[1 - h].page(t)[:2] for h, t in zip(b["half"], b["text"]) if len(halves[1 - h].keys)]
+            yield pd.DataFrame(out, columns=["s", "n"])
+
+    joined = F.array_join(F.expr("transform(array_sort(collect_list(struct(at, text))), x -> x.text)"), "\n").alias("text")
+    held = rows.groupBy("lang", "half", F.floor(F.col("at") / 6).alias("part")).agg(joined).select("half", "text").mapInPandas(score, "s double, n long")
+    got = held.where(F.col("n") >= WINDOW).agg(F.count("*"), F.avg("s"), F.stddev_pop("s"), F.avg("n")).first()
+    keys = sorted(tri[2])
+    bounds = tuple(got[1:]) if got[0] > 2 else (0.0, np.inf, 1.0)
+    return tuple(sorted(words[2])), np.array(keys, np.int64).tobytes(), np.array([tri[2][k] for k in keys], float).tobytes(), bounds
+
+
+@lru_cache(maxsize=2)
+def prose_of(learnt: Learnt) -> ProseModel:
+    """The model of a worker, kept from task to task."""
+    function, keys, counts, bounds = learnt
+    model = ProseModel(function=function, trigrams={})
+    model.fit(np.frombuffer(keys, np.int64), np.frombuffer(counts, float))
+    model.bounds = bounds
+    return model
+
+
 def judge(text: str | None, prose: ProseModel, an: Analyser) -> tuple[bool, float] | None:
     """(spam, median surprise) of a text that can be judged."""
     garbled = an.affected(text)
@@ -191,10 +276,10 @@ def judge_right(text: str | None, prose: ProseModel, garbled: bool, tokens: list
 
 def scored(pages: DataFrame, samples: DataFrame) -> DataFrame:
     """(fetch_id, domain, surprise, spam) of the pages that can be judged."""
-    rows = samples_of(samples)
+    learnt, pairs = learn(samples), pairs_of(samples)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        prose, an = model_of(tuple(rows)), Analyser(rows)
+        prose, an = prose_of(learnt), analyser(pairs)
         for b in batches:
             out = []
             for i, d, t in zip(b["fetch_id"], b["domain"], b["text"]):

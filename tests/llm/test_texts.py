@@ -317,6 +317,18 @@ def test_bounds_come_from_held_out_prose(rows):
     assert spam.judge_right(SPAM[0], low, False)[0] and not spam.judge_right(" ".join(t for _, t in rows[:5]), prose, False)[0]
 
 
+def test_prose_of_every_sample(spark, samples, rows):
+    """Learnt where the samples lie as from a list of them; none is left out."""
+    here, there = spam.model_of(tuple(rows)), spam.prose_of(spam.learn(samples))
+    assert here.function == there.function and np.array_equal(here.keys, there.keys) and np.array_equal(here.counts, there.counts)
+    assert np.array_equal(here.two, there.two) and np.array_equal(here.context, there.context) and np.allclose(here.bounds, there.bounds, rtol=1e-12)
+    more = crowded(samples)
+    assert spam.prose_of(spam.learn(more)).function >= here.function
+    t = table(spark, [{"fetch_id": 1, "text": SPAM[0]}, {"fetch_id": 2, "text": " ".join(x for _, x in rows[:5])}])
+    assert [r[0] for r in spam.found(t, more).collect()] == [1]
+    assert all(spam.learn(samples.limit(n))[3][1] == np.inf for n in (0, 1))
+
+
 def test_batches_are_bounded_by_words(crf, rows):
     long = " ".join(t for _, t in rows) * 20
     words_ = [language.read_words(t)[0] for t in (long, rows[0][1], "", rows[1][1])]
