@@ -385,16 +385,16 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     left out."""
     from . import residue, spam, template
 
-    rows = samples_of(samples, SAMPLE_BOUND)
-    packed = pack(fit(rows))
-    page = template.parsed(pages, samples)
+    packed = pack(fit(samples_of(samples, SAMPLE_BOUND)))
+    learnt = spam.learn(samples)
+    page = template.parsed(pages, samples, learnt=learnt)
     line = template.judged_lines(page)
     skip = line.where("furniture").groupBy("fetch_id").agg(F.collect_set("no").alias("skip"))
     drop = residue.found(page, line, pages).union(page.where("garbled_text or garbled_html").select("fetch_id")).distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)
-        prose = spam.model_of(tuple(rows))  # garbled rows are gone
+        prose = spam.prose_of(learnt)  # garbled rows are gone
         for b in batches:
             for lo in range(0, len(b), 1000):
                 part, out = b.iloc[lo : lo + 1000], []

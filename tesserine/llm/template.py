@@ -48,9 +48,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from .common import WORD, cut, small
-from .encoding import Analyser, samples_of
+from .encoding import analyser, pairs_of
 from .residue import line_mask, orphan, page_places, title_of
-from .spam import TOKEN
+from .spam import TOKEN, Learnt
 
 TEMPLATE_PAGES, TEMPLATE_SHARE = 6, 0.6
 MAIN = 0.5
@@ -238,15 +238,16 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     )
 
 
-def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False) -> DataFrame:
+def parsed(pages: DataFrame, samples: DataFrame, spam_too: bool = False, learnt: Learnt | None = None) -> DataFrame:
     """One row per page with text; lineage is cut, as every step reads it.  With
-    ``spam_too`` the pages' texts are also judged by problem 3 while at hand."""
+    ``spam_too`` the pages' texts are also judged by problem 3 while at hand;
+    ``learnt`` is its model, if there is one already."""
     from . import spam
 
-    rows = samples_of(samples)
+    learnt, pairs = learnt or spam.learn(samples), pairs_of(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        an, prose = Analyser(rows), spam.model_of(tuple(rows))
+        an, prose = analyser(pairs), spam.prose_of(learnt)
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 out = []

@@ -177,6 +177,18 @@ def test_furniture(spark, samples, rows):
     assert template.found(t.limit(0), samples).count() == 0
 
 
+def test_furniture_by_every_sample(spark, samples, rows):
+    """The repair of a garbled menu and the refusal of a spam page need samples that sort last."""
+    ru = max((w for lang, t in rows if lang == "ru" for w in t.split() if w.isalpha()), key=len)
+    wrong = ru.encode("cp1251").decode("cp1252")
+    pages = [page(i, rows, "h.example", menu=("Home", ru)) for i in range(8)]
+    pages[0]["text"] = pages[0]["text"].replace(ru, wrong)
+    pages.append(page(20, rows, "h.example", menu=("Home", ru), body=[SPAM[0] * 3] * 3))
+    t = table(spark, pages)
+    got = {(r["fetch_id"], r["line_no"]) for r in template.found(t, crowded(samples)).collect()}
+    assert got == {(i, n) for i in range(8) for n in (0, 1, 6)}
+
+
 def test_body_slot_is_of_a_valid_class(spark, samples, rows):
     pages = [page(i, rows, "h.example") for i in range(8)]
     promo = " ".join(t for _, t in rows[:12])
