@@ -34,7 +34,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code pages UTF-8 is misread in, most usual first.
@@ -326,12 +326,9 @@ def labelled(samples: DataFrame) -> DataFrame:
     return samples.where("text is not null and lang is not null").select("lang", "text")
 
 
-def samples_of(samples: DataFrame, bound: int = 500) -> list[tuple[str, str]]:
-    """The labelled samples, at most ``bound`` rows of each language (the table is
-    fixed)."""
-    by = Window.partitionBy("lang").orderBy("text")
-    some = labelled(samples).withColumn("r", F.row_number().over(by)).where(F.col("r") <= bound)
-    return sorted((r[0], r[1]) for r in some.collect())
+def samples_of(samples: DataFrame) -> list[tuple[str, str]]:
+    """All labelled samples."""
+    return sorted(map(tuple, labelled(samples).collect()))
 
 
 def pairs_of(samples: DataFrame) -> Pairs:

@@ -6,9 +6,9 @@ the languages of the labelled samples.  Features of a word are its lexicon entry
 numbers have none.  Transition weights are learned from sequences that join
 samples of one to three languages, so the chain learns how seldom a text
 switches.  Training maximises the conditional log-likelihood, its gradient by
-forward-backward, full batch; the samples are a fixed table, ``SAMPLE_BOUND``
-rows of each language at most, and the weights are a bounded broadcast.  Labelling takes the
-marginals of forward-backward over whole texts: a word's label is the likeliest,
+forward-backward, full batch, over all samples; the driver holds that table and
+reads it in blocks of ``CELLS`` words, and the weights are a bounded broadcast that
+each worker unpacks once.  Labelling takes the marginals of forward-backward over whole texts: a word's label is the likeliest,
 a part's confidence the mean marginal of its label.
 
 A sentence of which one language holds ``SENTENCE`` is that language's.  Words
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,11 +36,12 @@ from pyspark.sql import functions as F
 from .common import small
 from .encoding import samples_of
 
-SAMPLE_BOUND = 500
 BUCKETS = 1 << 16
 STEPS = 45
 RATE = 0.15
 L2 = 2e-4
+#: Padded words of a training block.
+CELLS = 1 << 18
 RUN = 5
 SENTENCE = 0.7
 BATCH, BATCH_WORDS = 192, 100_000
@@ -147,11 +149,11 @@ def forward_backward(e: np.ndarray, a: np.ndarray, lengths: list[int]) -> tuple[
 
 def fit(samples: list[tuple[str, str]]) -> Crf:
     """Train on labelled samples, alone and joined by twos and threes."""
-    langs = sorted({lang for lang, _ in samples})
+    langs = sorted({lang for lang, t in samples if any(w[0].isalnum() for w in TOKEN.findall(t))})
     if not langs:
         return Crf([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     ids = {x: i for i, x in enumerate(langs)}
-    seqs = [([w for w in TOKEN.findall(t) if w[0].isalnum()], ids[lang]) for lang, t in samples]
+    seqs = [([w for w in TOKEN.findall(t) if w[0].isalnum()], ids.get(lang)) for lang, t in samples]
     seqs = [s for s in seqs if s[0]]
     rng = np.random.default_rng(7)
     data = []
@@ -166,41 +168,41 @@ def fit(samples: list[tuple[str, str]]) -> Crf:
     row = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     col = np.array([c for f in feats for c in f], np.int64)
     used, col = np.unique(col, return_inverse=True)
-    k, t = len(langs), max(map(len, xs))
-    x = np.zeros((t, len(xs)), np.int64)
-    mask = np.zeros((t, len(xs)), np.float32)
-    y = np.zeros((t, len(xs)), np.int64)
-    for j, (q, (_, lab)) in enumerate(zip(xs, data)):
-        x[: len(q), j], mask[: len(q), j], y[: len(q), j] = q, 1, lab
-    lengths = [len(q) for q in xs]
-    gold = np.zeros((t, len(xs), k), np.float32)
-    np.put_along_axis(gold, y[:, :, None], 1, 2)
-    gold *= mask[:, :, None]
-    pair = mask[1:, :, None, None] * gold[:-1, :, :, None] * gold[1:, :, None, :]
-    gold_pairs = pair.sum((0, 1))
+    k = len(langs)
+    blocks, gold_pairs, n = [], np.zeros((k, k)), 0.0
+    for some in _blocks(list(map(len, xs))):
+        lengths = [len(xs[j]) for j in some]
+        shape = max(lengths), len(some)
+        x, y, mask = np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.zeros(shape, np.float32)
+        for i, j in enumerate(some):
+            x[: len(xs[j]), i], mask[: len(xs[j]), i], y[: len(xs[j]), i] = xs[j], 1, data[j][1]
+        gold = _gold(y, mask, k)
+        gold_pairs += (mask[1:, :, None, None] * gold[:-1, :, :, None] * gold[1:, :, None, :]).sum((0, 1))
+        n += float(mask.sum())
+        blocks.append((x, y, mask, lengths))
     w, a = np.zeros((len(used), k)), np.zeros((k, k))
     mw, vw, ma, va = np.zeros_like(w), np.zeros_like(w), np.zeros_like(a), np.zeros_like(a)
-    n = mask.sum()
     # Word rows of the feature matrix, summed by segment (every word has a feature but numbers).
     for step in range(1, STEPS + 1):
         score = np.zeros((len(feats), k))
         np.add.at(score, row, w[col])
-        e = np.exp(score - score.max(1, keepdims=True)).astype(np.float32)[x]
-        e[mask == 0] = 1.0
+        by_row = np.exp(score - score.max(1, keepdims=True)).astype(np.float32)
         ea = np.exp(a).astype(np.float32)
-        m, be = forward_backward(e, ea, lengths)
-        al = np.empty_like(e)
-        al[0] = e[0] / e[0].sum(1, keepdims=True)
-        expected = np.zeros((k, k))
-        for i in range(1, t):
-            q = (al[i - 1] @ ea) * e[i]
-            al[i] = q / q.sum(1, keepdims=True)
-            p = al[i - 1][:, :, None] * ea[None] * (e[i] * be[i])[:, None, :]
-            p /= p.sum((1, 2), keepdims=True)
-            expected += (p * mask[i][:, None, None]).sum(0)
-        d = (m - gold) * mask[:, :, None]
-        by_word = np.zeros((len(feats), k))
-        np.add.at(by_word, x.ravel(), d.reshape(-1, k))
+        expected, by_word = np.zeros((k, k)), np.zeros((len(feats), k))
+        for x, y, mask, lengths in blocks:
+            e = by_row[x]
+            e[mask == 0] = 1.0
+            m, be = forward_backward(e, ea, lengths)
+            al = np.empty_like(e)
+            al[0] = e[0] / e[0].sum(1, keepdims=True)
+            for i in range(1, len(e)):
+                q = (al[i - 1] @ ea) * e[i]
+                al[i] = q / q.sum(1, keepdims=True)
+                p = al[i - 1][:, :, None] * ea[None] * (e[i] * be[i])[:, None, :]
+                p /= p.sum((1, 2), keepdims=True)
+                expected += (p * mask[i][:, None, None]).sum(0)
+            d = (m - _gold(y, mask, k)) * mask[:, :, None]
+            np.add.at(by_word, x.ravel(), d.reshape(-1, k))
         gw = np.zeros_like(w)
         np.add.at(gw, col, by_word[row])
         gw = gw / n + L2 * w
@@ -214,16 +216,41 @@ def fit(samples: list[tuple[str, str]]) -> Crf:
     return Crf(langs, weights, a)
 
 
-def pack(model: Crf) -> tuple:
+def _blocks(lengths: list[int]) -> Iterator[list[int]]:
+    """Neighbouring sequences of at most CELLS padded words, at least one a block."""
+    some: list[int] = []
+    longest = 0
+    for j, n in enumerate(lengths):
+        if some and max(longest, n) * (len(some) + 1) > CELLS:
+            yield some
+            some, longest = [], 0
+        some.append(j)
+        longest = max(longest, n)
+    if some:
+        yield some
+
+
+def _gold(y: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
+    """The right labels as indicators (time, text, label)."""
+    gold = np.zeros((*y.shape, k), np.float32)
+    np.put_along_axis(gold, y[:, :, None], 1, 2)
+    return gold * mask[:, :, None]
+
+
+def pack(model: Crf) -> tuple[tuple[str, ...], bytes, bytes, bytes]:
     """The model without its empty weight rows, to ship to the workers."""
     used = np.flatnonzero(np.abs(model.weights).sum(1) if model.langs else np.zeros(0))
-    return model.langs, used, model.weights[used], model.trans
+    return tuple(model.langs), used.tobytes(), model.weights[used].tobytes(), model.trans.tobytes()
 
 
-def unpack(p: tuple) -> Crf:
-    w = np.zeros((BUCKETS, len(p[0])), np.float32)
-    w[p[1]] = p[2]
-    return Crf(p[0], w, p[3])
+@lru_cache(maxsize=2)
+def unpack(p: tuple[tuple[str, ...], bytes, bytes, bytes]) -> Crf:
+    """The model of a worker, kept with its words from task to task."""
+    langs, used, weights, trans = p
+    k = len(langs)
+    w = np.zeros((BUCKETS, k), np.float32)
+    w[np.frombuffer(used, np.int64)] = np.frombuffer(weights, np.float32).reshape(-1, k) if k else 0
+    return Crf(list(langs), w, np.frombuffer(trans).reshape(k, k))
 
 
 def label_code(label: str | None) -> str | None:
@@ -333,7 +360,7 @@ def found_fields(label: str | None, body: dict, meta: dict) -> list[tuple[str, s
 def labels(table: DataFrame, samples: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key, field, lang, words, share, confidence, label): one row per language
     of each field with words; furniture is not taken out here."""
-    packed = pack(fit(samples_of(samples, SAMPLE_BOUND)))
+    packed = pack(fit(samples_of(samples)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)
@@ -358,7 +385,7 @@ def labels(table: DataFrame, samples: DataFrame, key: str, fields: list[str]) ->
 def segments(table: DataFrame, samples: DataFrame, key: str, field: str = "text") -> DataFrame:
     """(key, segment, lang, first_word, last_word, confidence) of maximal runs of
     one language, in texts that hold more than one."""
-    packed = pack(fit(samples_of(samples, SAMPLE_BOUND)))
+    packed = pack(fit(samples_of(samples)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unpack(packed)
@@ -385,7 +412,7 @@ def found(pages: DataFrame, samples: DataFrame) -> DataFrame:
     left out."""
     from . import residue, spam, template
 
-    packed = pack(fit(samples_of(samples, SAMPLE_BOUND)))
+    packed = pack(fit(samples_of(samples)))
     learnt = spam.learn(samples)
     page = template.parsed(pages, samples, learnt=learnt)
     line = template.judged_lines(page)

@@ -115,6 +115,25 @@ def test_held_out_words(rows):
     assert right / total > 0.97
 
 
+def test_every_sample_is_learnt(spark, samples, rows):
+    t = table(spark, [{"fetch_id": 1, "text": " ".join(t for lang, t in rows if lang == "pl")}])
+    got = {r["lang"]: r["share"] for r in language.labels(t, crowded(samples), "fetch_id", ["text"]).collect()}
+    assert got.get("pl", 0) > 0.9
+
+
+def test_training_in_blocks(rows, monkeypatch):
+    some = rows[::4]
+    whole = language.fit(some)
+    assert language.unpack(language.pack(whole)) is language.unpack(language.pack(whole))
+    assert np.array_equal(language.unpack(language.pack(whole)).weights, whole.weights)
+    monkeypatch.setattr(language, "CELLS", 2000)
+    assert len(list(language._blocks([150] * 40))) == 4
+    parts = language.fit(some)
+    for _, t in rows[1::9]:
+        q = language.read_words(t)[0]
+        assert np.allclose(whole.marginals([q])[0], parts.marginals([q])[0], atol=0.02)
+
+
 def test_forward_backward_is_exact():
     r = np.random.default_rng(0)
     a = np.exp(r.normal(size=(3, 3)))
