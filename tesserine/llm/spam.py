@@ -188,9 +188,10 @@ def model_of(samples: tuple[tuple[str, str], ...]) -> ProseModel:
 
 
 def numbered(samples: DataFrame) -> DataFrame:
-    """(lang, text, at, half) of all labelled samples: the place in the language, and
+    """(lang, text, at, half) of all different labelled samples (copies would leave no
+    half held out): the place in the language, and
     the half that holds every other one of all, by language and text."""
-    rows = labelled(samples)
+    rows = labelled(samples).distinct()
     size = rows.groupBy("lang").agg(F.count("*").alias("size"))
     before = size.select("lang", (F.sum("size").over(Window.orderBy("lang")) - F.col("size")).alias("before"))
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("text")) - 1).join(before, "lang")

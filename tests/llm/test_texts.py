@@ -353,6 +353,7 @@ def test_prose_of_every_sample(spark, samples, rows):
     here, there = spam.model_of(tuple(rows)), spam.prose_of(spam.learn(samples))
     assert here.function == there.function and np.array_equal(here.keys, there.keys) and np.array_equal(here.counts, there.counts)
     assert np.array_equal(here.two, there.two) and np.array_equal(here.context, there.context) and np.allclose(here.bounds, there.bounds, rtol=1e-12)
+    assert np.allclose(spam.learn(samples.union(samples).union(samples))[3], here.bounds, rtol=1e-12)
     more = crowded(samples)
     assert spam.prose_of(spam.learn(more)).function >= here.function
     t = table(spark, [{"fetch_id": 1, "text": SPAM[0]}, {"fetch_id": 2, "text": " ".join(x for _, x in rows[:5])}])
